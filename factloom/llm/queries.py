@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import table
 from factloom.llm.fingerprint import compare_with_edits
+from factloom.llm.forest import near_duplicates
+from factloom.llm.html import extract_main_text
+from factloom.llm.mixing import label_domains, mix
 from factloom.llm.packing import pack
+from factloom.llm.quality import classify
 from factloom.llm.secrets import described, scan_secrets
 from factloom.llm.topk import exact_topk
 
 TOKENIZERS = "/opt/tokenizers"
+TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
+
+
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_text", "quality_meta", "quality_score", F.col("is_quality").cast("int").alias("is_quality"))
+
+
+def op2_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +60,19 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS, keep=["doc_id"])
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return mixed.select("doc_id", "tokens", *shares, "rate")
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op9_nnls_packing)}
+def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_co_training_quality, op2_wrapper_extraction, op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op6_soft_mixing, op9_nnls_packing, op10_lsh_forest_join)}
 ORACLE: dict[str, str] = {"op5_segment_topk": OP5_SQL}
