@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,13 +28,6 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _LENGTHS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest_crcs", pa.list_(pa.int64()))])
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins what white space parts: each distinct word is encoded once.
 
@@ -43,7 +35,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, keep: int = 400_000):
-        self.tokenizer, self.keep, self.known = _tokenizer(path), keep, {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         known = self.known
