@@ -15,6 +15,7 @@ from factloom.llm.mixing import label_domains, mix
 from factloom.llm.packing import pack
 from factloom.llm.quality import classify
 from factloom.llm.secrets import described, scan_secrets
+from factloom.llm.suffix import remove_repeats
 from factloom.llm.topk import exact_topk
 
 TOKENIZERS = "/opt/tokenizers"
@@ -66,6 +67,10 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *shares, "rate")
 
 
+def op7_bwt_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -74,5 +79,5 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_co_training_quality, op2_wrapper_extraction, op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op6_soft_mixing, op9_nnls_packing, op10_lsh_forest_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_co_training_quality, op2_wrapper_extraction, op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op6_soft_mixing, op7_bwt_suffix_dedup, op9_nnls_packing, op10_lsh_forest_join)}
 ORACLE: dict[str, str] = {"op5_segment_topk": OP5_SQL}
