@@ -266,7 +266,8 @@ def _merge_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[host] = merge(held[host], w) if host in held else w
         if len(held) > 2000:
             yield rows()
-    yield rows()
+    if held:
+        yield rows()
 
 
 def _merge_wrappers(part: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +297,7 @@ def extract_main_text(pages: DataFrame, broadcast_rows: int = 20_000) -> DataFra
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    as_rule = F.pandas_udf(lambda w: pd.Series([json.dumps(rule_of(json.loads(x))) for x in w]), "string")
+    as_rule = F.pandas_udf(lambda w: pd.Series([json.dumps(rule_of(json.loads(x))) for x in w], dtype=object), "string")
     rules = materialize(infer_wrappers(rows).select("host", as_rule("wrapper").alias("rule")))
     if rules.count() <= broadcast_rows:
         met = rows.join(F.broadcast(rules), "host", "left")

@@ -71,6 +71,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_lab
 
     def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             yield pd.DataFrame({"domain": b["domain"], "shape": [text_view(t) for t in b["text"]], "words": [hashed_words(t) for t in b["text"]]})
 
     rows = sample.mapInPandas(shaped, "domain string, shape array<float>, words array<int>").toPandas()
@@ -82,7 +84,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_lab
             p = np.full((len(text), len(domains)), 1 / len(domains))
         else:
             p = np.concatenate([model.posteriors(np.array([text_view(t) for t in part]), [hashed_words(t) for t in part]) for part in (text[i : i + 500] for i in range(0, len(text), 500))])
-        return pd.DataFrame({"tokens": np.array(tokens, dtype=np.int64), "posterior": list(p)})
+        return pd.DataFrame({"tokens": np.array(tokens, dtype=np.int64), "posterior": pd.Series(list(p), dtype=object)})
 
     names = [c for c in docs.columns if c not in ("tokens", "posterior", "_m")]
     scored = docs.select(*names, F.pandas_udf(score, "tokens long, posterior array<double>")(whole_text()).alias("_m"))

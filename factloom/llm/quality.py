@@ -65,7 +65,7 @@ def meta_view(lang: str | None, source: str | None, n_chars: float | None) -> li
 
 
 def views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"text": [text_view(t) for t in text], "meta": [meta_view(*r) for r in zip(lang, source, n_chars)]})
+    return pd.DataFrame({"text": [text_view(t) for t in text], "meta": [meta_view(*r) for r in zip(lang, source, n_chars)]}, dtype=object)
 
 
 def features(docs: DataFrame) -> Column:
