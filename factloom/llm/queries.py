@@ -13,6 +13,7 @@ from factloom.llm.forest import near_duplicates
 from factloom.llm.html import extract_main_text
 from factloom.llm.mixing import label_domains, mix
 from factloom.llm.packing import pack
+from factloom.llm.passages import repeated_passages
 from factloom.llm.quality import classify
 from factloom.llm.secrets import described, scan_secrets
 from factloom.llm.suffix import remove_repeats
@@ -71,6 +72,10 @@ def op7_bwt_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -79,5 +84,5 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_co_training_quality, op2_wrapper_extraction, op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op6_soft_mixing, op7_bwt_suffix_dedup, op9_nnls_packing, op10_lsh_forest_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_co_training_quality, op2_wrapper_extraction, op3_multiset_fingerprints, op4_secret_scan, op5_segment_topk, op6_soft_mixing, op7_bwt_suffix_dedup, op8_compact_windows, op9_nnls_packing, op10_lsh_forest_join)}
 ORACLE: dict[str, str] = {"op5_segment_topk": OP5_SQL}
