@@ -1 +1 @@
-
+"""Where facts come from and where they are kept."""

@@ -1 +1 @@
-
+"""Facts as streams."""
