@@ -6,68 +6,76 @@ import numpy as np
 
 
 class Shard:
-    """Strings end to end, each closed by a terminator (0; bytes count from 1), and their transform.
+    """Strings end to end, parted by zero bytes, and their transform.
 
-    ``order`` sorts the rotations of the strings by their first ``depth`` symbols at least; ``bwt`` is the symbol before each.
+    ``order`` sorts the places by the ``depth`` bytes (a multiple of eight, rounded up to a power of two) that begin there,
+    around the end; ``bwt`` has the two bytes before each, as one symbol. What reads across a zero compares in some way that
+    doesn't matter: only places that have ``depth`` bytes of one string before them count in the end.
     """
 
     def __init__(self, strings: list[bytes], depth: int):
         lengths = np.array([len(s) + 1 for s in strings], dtype=np.int64)
-        self.starts = np.cumsum(lengths) - lengths
-        raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-        self.text = raw.astype(np.uint16) + 1
-        ends = self.starts + lengths - 1
-        self.text[ends] = 0
-        n = len(raw)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        after[ends], before[self.starts] = self.starts, ends
-        self.lengths = lengths - 1
-        rank, k = self.text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while k < depth:
-            key = rank * (n + 257) + rank[after]
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-            if rank[order[-1]] == n - 1:
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths - 1
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+        n = len(text)
+        around = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
+        rank = np.zeros(n, np.uint64)
+        for i in range(8):
+            rank = (rank << np.uint64(8)) | around[i : i + n]
+        k = 8
+        while True:
+            order = np.argsort(rank, kind="stable")
+            if k >= depth:
                 break
-            after = after[after]
+            ordered = rank[order]
+            small = np.empty(n, np.uint64)
+            small[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
+            rank = (small << np.uint64(32)) | np.roll(small, -(k % n))
             k *= 2
-        self.order, self.bwt = order, self.text[before[order]]
+        self.order = order
+        pairs = (np.roll(text, 2).astype(np.uint16) << 8) | np.roll(text, 1)
+        self.bwt = pairs[order]
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.back = place[(order - 2) % n]  # where the order has the rotation that begins two bytes before
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' orders and, for each place, the number of its block of equal first ``depth`` symbols.
+    """The interleave of the shards' orders by the first ``depth`` (even) bytes, of rotations that share them with others, and
+    the number of each one's block. A rotation is named by its place in the shards' orders, one shard after the other.
 
-    The interleave (from which shard each place takes its next rotation) starts as shard after shard. In each round the
-    transforms, read in the order of the interleave, are sorted stably by symbol, and the interleave follows; after k rounds
-    it sorts by the first k symbols. A place begins a block where its first symbol, or the block of the rotation that
-    follows that symbol, differs from the place before: common prefixes come out of the same rounds.
+    The interleave starts as shard after shard. In each round the transforms, read in the order of the interleave, are
+    sorted stably by symbol, and the interleave steps back by it; a symbol being two bytes, after k rounds it sorts by the
+    first 2k. A rotation begins a block where its first symbol, or the block of what follows the symbol, differs from the
+    one before: common prefixes come out of the same rounds. A block of one is settled, and so is what precedes it: both
+    leave the interleave.
     """
-    sizes = [len(s.bwt) for s in shards]
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    block = np.zeros(len(interleave), np.int32)
-    symbols = np.empty(len(interleave), np.uint16)
-    for _ in range(depth):
-        for i, s in enumerate(shards) if len(shards) > 1 else ():
-            symbols[interleave == i] = s.bwt
-        if len(shards) == 1:
-            symbols = shards[0].bwt
+    offsets = np.cumsum([0, *(len(s.bwt) for s in shards)])
+    bwt = np.concatenate([s.bwt for s in shards])
+    back = np.concatenate([s.back + np.int32(o) for s, o in zip(shards, offsets)])
+    interleave = np.arange(len(bwt), dtype=np.int32)
+    block = np.zeros(len(bwt), np.int32)
+    for _ in range(depth // 2):
+        symbols = bwt[interleave]
         to = np.argsort(symbols, kind="stable")
-        interleave = interleave[to]
+        interleave = back[interleave[to]]
         first, rest = symbols[to], block[to]
-        block = np.concatenate([[0], np.cumsum((first[1:] != first[:-1]) | (rest[1:] != rest[:-1]), dtype=np.int32)]).astype(np.int32)
-        if block[-1] == len(block) - 1:
+        begins = np.ones(len(to) + 1, bool)
+        begins[1:-1] = (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])
+        shared = ~(begins[:-1] & begins[1:])
+        interleave = interleave[shared]
+        block = np.cumsum(begins[:-1][shared], dtype=np.int32)
+        if not len(block):
             break
     return interleave, block
 
 
-def repeated(strings: list[bytes], ids: np.ndarray, at: np.ndarray, depth: int, shard_bytes: int = 1 << 19) -> list[tuple[int, int, int]]:
+def repeated(strings: list[bytes], ids: np.ndarray, at: np.ndarray, depth: int, shard_bytes: int = 1 << 17) -> list[tuple[int, int, int]]:
     """(id, from, to) of runs of bytes under strings of ``depth`` bytes that occur earlier as well, by (id, place).
 
     ``strings`` are stretches of documents: ``ids`` their documents, ``at`` their first bytes' places.
     """
+    shard_bytes = max(shard_bytes, sum(map(len, strings)) // 200)
     parts: list[list[int]] = [[]]
     size = 0
     for i, s in enumerate(strings):
@@ -78,13 +86,16 @@ def repeated(strings: list[bytes], ids: np.ndarray, at: np.ndarray, depth: int,
         size += len(s)
     shards = [Shard([strings[i] for i in p], depth) for p in parts if p]
     interleave, block = merge(shards, depth)
-    whose = np.empty(len(block), np.int64)  # the string of each place, and the offset in it
-    offset = np.empty(len(block), np.int64)
-    full = np.empty(len(block), bool)
+    if not len(block):
+        return []
+    begin = np.cumsum([0, *(len(s.bwt) for s in shards)])
+    whose, offset, full = (np.empty(len(block), t) for t in (np.int64, np.int64, bool))  # of each: its string, the offset, if it fits
+    of = np.searchsorted(begin, interleave, side="right") - 1
     for i, (s, p) in enumerate(zip(shards, [p for p in parts if p])):
-        mine = interleave == i
-        local = np.searchsorted(s.starts, s.order, side="right") - 1
-        off = s.order - s.starts[local]
+        mine = of == i
+        at_byte = s.order[interleave[mine] - begin[i]]
+        local = np.searchsorted(s.starts, at_byte, side="right") - 1
+        off = at_byte - s.starts[local]
         whose[mine], offset[mine], full[mine] = np.array(p)[local], off, off + depth <= s.lengths[local]
     # Blocks of two or more full strings; all but the first of each, by document and place, repeat it.
     counts = np.bincount(block[full], minlength=int(block[-1]) + 1)

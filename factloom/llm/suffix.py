@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import repeated
-from factloom.llm.common import arrow_rows, materialize, shared_folder, shuffle_partitions, whole_text
+from factloom.llm.common import arrow_rows, materialize, release, shared_folder, shuffle_partitions, whole_text
 
 _NO_ID = -(2**63)
 
@@ -53,15 +53,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretches(depth: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["anchor", "doc_id", "start", "n", "places"]
+    """For each document lists of its stretches: anchor, start, number of strings, places of the anchor (2: two or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.encode() for t in b.column("text").to_pylist()]
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             raw = np.frombuffer(b"".join(texts), np.uint8)
-            if len(raw) < depth or not (sizes >= depth).any():
+            if not (sizes >= depth).any():
                 continue
             grams, width = gram_hashes(raw, gram), depth - gram + 1
             least = sliding_least(grams, width)
@@ -70,7 +69,7 @@ def _stretches(depth: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
             ends = np.flatnonzero(~sliding_least(~most, width) == grams)
             begin = np.cumsum(sizes) - sizes
             windows = np.maximum(sizes - depth + 1, 0)
-            whose = np.repeat(np.arange(len(sizes)), windows)
+            whose = np.repeat(np.arange(len(sizes), dtype=np.int32), windows)
             offset = np.arange(len(whose)) - np.repeat(np.cumsum(windows) - windows, windows)
             value = least[begin[whose] + offset]
             new = np.ones(len(value), bool)
@@ -83,7 +82,9 @@ def _stretches(depth: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
             each = np.repeat(np.arange(len(at)), hi - lo)
             place = ends[np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]]
             places = np.bincount(each[grams[place] == value[at][each]], minlength=len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(ids[whose[at]]), pa.array(offset[at].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32))], names=names)
+            edges = pa.array(np.searchsorted(whose[at], np.arange(len(sizes) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (value[at].view(np.int64), offset[at].astype(np.int32), runs.astype(np.int32), np.minimum(places, 2).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists], names=["doc_id", "anchor", "start", "n", "places"])
 
     return run
 
@@ -97,21 +98,29 @@ def _cut(depth: int, most: int = 100_000) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for b in batches:
-            rows: list[tuple] = []
-            for text, doc, parts in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("parts").to_pylist()):
-                raw = text.encode()
-                for p in sorted(parts, key=lambda p: p["start"]):
-                    piece = raw[p["start"] : p["start"] + p["n"] + depth - 1]
-                    key = hashlib.blake2b(piece, digest_size=16).digest()
-                    k1, k2 = np.frombuffer(key, "<i8").tolist()
-                    new = key not in met
-                    if new:
-                        if len(met) >= most:
-                            met.clear()
-                        met.add(key)
-                    rows.append((p["anchor"], k1, k2, doc, p["start"], p["n"], p["places"], piece if new else None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HELD)], schema=_HELD)
+            lists = b.column("parts")
+            parts, per_doc = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            anchor, start, n, places = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            whose = np.repeat(np.arange(len(per_doc)), per_doc)
+            by = np.lexsort((start, whose))
+            anchor, start, n, places = anchor[by], start[by], n[by], places[by]
+            raw = [t.encode() for t in b.column("text").to_pylist()]
+            keys, pieces = [], []
+            for doc, lo, hi in zip(whose.tolist(), start.tolist(), (start + n + depth - 1).tolist()):
+                piece = raw[doc][lo:hi]
+                key = hashlib.blake2b(piece, digest_size=16).digest()
+                keys.append(key)
+                if key in met:
+                    pieces.append(None)
+                    continue
+                if len(met) >= most:
+                    met.clear()
+                met.add(key)
+                pieces.append(piece)
+            hashes = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[whose]
+            columns = [anchor, hashes[:, 0].copy(), hashes[:, 1].copy(), ids, start, n, places]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _HELD)), pa.array(pieces, pa.binary())], schema=_HELD)
 
     return run
 
@@ -152,12 +161,15 @@ def _merge_buckets(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """Rows come bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket = None
+        held: dict[bytes, tuple[int, int]] = {}
+        later: list[tuple[int, int, int]] = []
 
         def found() -> pa.RecordBatch | None:
-            if not held:
-                return None
-            runs = repeated([h[0] for h in held], np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64), depth)
+            runs = later[:]
+            if held:
+                places = np.array(list(held.values()), np.int64)
+                runs += repeated(list(held), places[:, 0], places[:, 1], depth)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*runs)], schema=_RUNS) if runs else None
 
         for b in batches:
@@ -165,8 +177,14 @@ def _merge_buckets(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 if key != bucket:
                     if (out := found()) is not None:
                         yield out
-                    bucket, held = key, []
-                held.append((piece, doc, start))
+                    bucket, held, later = key, {}, []
+                # Of equal stretches the first stays; the others repeat it as a whole.
+                place = (doc, start)
+                known = held.setdefault(piece, place)
+                if known != place:
+                    held[piece] = min(known, place)
+                    doc, start = max(known, place)
+                    later.append((doc, start, start + len(piece)))
         if (out := found()) is not None:
             yield out
 
@@ -208,11 +226,11 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     read it in place."""
     spark = df.sparkSession
     name = f"factloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int = 4000, bucket_bytes: int = 1 << 21, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int = 4000, bucket_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining text) of each row of ``docs``.
 
     ``docs`` has doc_id and text (null: empty); other columns are ignored. Each byte under a string of ``depth`` bytes that
@@ -222,15 +240,50 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     """
     spark = docs.sparkSession
     arrow_rows(spark, 500)
-    texts = bucketed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), whole_text().alias("text")), "doc_id")
-    stretches = texts.mapInArrow(_stretches(depth, gram), "anchor long, doc_id long, start int, n int, places int")
-    shared = stretches.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1").select("anchor")
-    parts = stretches.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "places")).alias("parts"))
-    met = texts.join(parts, "doc_id").sortWithinPartitions("doc_id")
-    held = materialize(met.mapInArrow(_cut(depth), "anchor long, k1 long, k2 long, doc_id long, start int, n int, places int, bytes binary"))
+    text = whole_text()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    texts = bucketed(rows, "doc_id")
+    copied = _equal_texts(texts, depth)
+    parts = _shared_stretches(texts.join(copied, "doc_id", "left_anti"), depth, gram)
+    release(spark)
+    held = materialize(texts.join(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_cut(depth), "anchor long, k1 long, k2 long, doc_id long, start int, n int, places int, bytes binary"))
+    spans = _equal_stretches(held, depth).unionByName(_merged(held, depth, heavy, bucket_bytes)).unionByName(copied)
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    release(spark)
+    out = texts.join(spans, "doc_id", "left").mapInArrow(_keep(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    return out if with_text else out.drop("kept")
+
+
+def _equal_texts(texts: DataFrame, depth: int) -> DataFrame:
+    """doc_id, lo, hi: documents whose whole text an earlier document has; nothing else needs to look at them."""
+    same = ["t1", "t2"]
+    first = texts.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = texts.select("doc_id", "n_bytes", *same).join(first, same).where((F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= depth))
+    return materialize(later.select("doc_id", F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")).distinct())
+
+
+def _shared_stretches(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """doc_id, parts: the stretches of each document whose anchor has a second place somewhere."""
+    lists = "doc_id long, anchor array<long>, start array<int>, n array<int>, places array<int>"
+    listed = materialize(texts.select("doc_id", "text").mapInArrow(_stretches(depth, gram), lists))
+    counted = listed.select(F.explode(F.arrays_zip("anchor", "places")).alias("s")).groupBy("s.anchor").agg(F.sum("s.places").alias("places"))
+    shared = counted.where("places > 1").select("anchor")
+    stretches = listed.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "n", "places")).alias("s")).select("doc_id", "s.*")
+    return materialize(stretches.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "places")).alias("parts")))
+
+
+def _equal_stretches(held: DataFrame, depth: int) -> DataFrame:
+    """doc_id, lo, hi: stretches whose bytes as a whole occur earlier."""
     same = ["anchor", "k1", "k2"]
     firsts = held.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    copies = held.drop("bytes").join(firsts, same).where("doc_id <> first.doc_id OR start <> first.start").select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") + depth - 1).cast("long").alias("hi"))
+    later = held.drop("bytes").join(firsts, same).where("doc_id <> first.doc_id OR start <> first.start")
+    return later.select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") + depth - 1).cast("long").alias("hi"))
+
+
+def _merged(held: DataFrame, depth: int, heavy: int, bucket_bytes: int) -> DataFrame:
+    """doc_id, lo, hi: repeats between different stretches of one anchor, by merged transforms."""
+    spark = held.sparkSession
     cut = held.where("bytes IS NOT NULL")
     key = F.struct("k1", "k2")
     tangled = cut.groupBy("anchor").agg(F.count("*").alias("pieces"), F.min(key).alias("a"), F.max(key).alias("z"), F.max("places").alias("places"), F.sum("n").alias("strings"), F.sum(F.length("bytes")).alias("size")).where("a <> z OR places > 1")
@@ -238,8 +291,4 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     total = tangled.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     dealt = cut.join(tangled.drop("size"), "anchor").select("heavy", "anchor", "bytes", "doc_id", "start").mapInArrow(_deal(depth, buckets), "bucket long, bytes binary, doc_id long, start long")
-    merged = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_buckets(depth), "doc_id long, lo long, hi long")
-    spans = copies.unionByName(merged).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    out = texts.join(spans, "doc_id", "left").mapInArrow(_keep(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-    return out if with_text else out.drop("kept")
+    return dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_buckets(depth), "doc_id long, lo long, hi long")
