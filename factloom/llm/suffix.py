@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import repeated
-from factloom.llm.common import arrow_rows, materialize, release, shared_folder, shuffle_partitions, whole_text
+from factloom.llm.common import arrow_rows, discard, materialize, release, shared_folder, shuffle_partitions, whole_text
 
 _NO_ID = -(2**63)
 
@@ -247,6 +247,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     parts = _shared_stretches(texts.join(copied, "doc_id", "left_anti"), depth, gram)
     release(spark)
     held = materialize(texts.join(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_cut(depth), "anchor long, k1 long, k2 long, doc_id long, start int, n int, places int, bytes binary"))
+    discard(parts)
     spans = _equal_stretches(held, depth).unionByName(_merged(held, depth, heavy, bucket_bytes)).unionByName(copied)
     spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     release(spark)
@@ -270,7 +271,9 @@ def _shared_stretches(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     counted = listed.select(F.explode(F.arrays_zip("anchor", "places")).alias("s")).groupBy("s.anchor").agg(F.sum("s.places").alias("places"))
     shared = counted.where("places > 1").select("anchor")
     stretches = listed.select("doc_id", F.explode(F.arrays_zip("anchor", "start", "n", "places")).alias("s")).select("doc_id", "s.*")
-    return materialize(stretches.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "places")).alias("parts")))
+    parts = materialize(stretches.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "places")).alias("parts")))
+    discard(listed)
+    return parts
 
 
 def _equal_stretches(held: DataFrame, depth: int) -> DataFrame:
