@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import repeated
-from factloom.llm.common import arrow_rows, discard, materialize, release, shared_folder, shuffle_partitions, whole_text
+from factloom.llm.common import arrow_rows, discard, materialize, shared_folder, shuffle_partitions, shuffles_end, whole_text
 
 _NO_ID = -(2**63)
 
@@ -226,7 +226,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     read it in place."""
     spark = df.sparkSession
     name = f"factloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    with shuffles_end(spark):
+        df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -245,12 +246,10 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     texts = bucketed(rows, "doc_id")
     copied = _equal_texts(texts, depth)
     parts = _shared_stretches(texts.join(copied, "doc_id", "left_anti"), depth, gram)
-    release(spark)
     held = materialize(texts.join(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_cut(depth), "anchor long, k1 long, k2 long, doc_id long, start int, n int, places int, bytes binary"))
     discard(parts)
     spans = _equal_stretches(held, depth).unionByName(_merged(held, depth, heavy, bucket_bytes)).unionByName(copied)
     spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    release(spark)
     out = texts.join(spans, "doc_id", "left").mapInArrow(_keep(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
     return out if with_text else out.drop("kept")
