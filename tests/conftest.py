@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(folder / "shared"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
