@@ -38,17 +38,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        # Letters that stay one letter in lower case.
+        self.marks, self.letters = frozenset(".,"), frozenset(c for c in map(chr, range(65, 0x130)) if c.isalpha())
+        self._encode([".", ","])
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[word] = code.ids
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. A point or comma after a letter is a token of its own: such words share their stem's ids."""
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(code.ids, dtype=np.uint32)
-        return [known[w] for w in words]
+            self._encode([".", ","])
+        ends = [w[-1:] in self.marks and w[-2:-1] in self.letters for w in words]
+        stems = [w[:-1] if e else w for w, e in zip(words, ends)]
+        self._encode(list(dict.fromkeys(s for s in stems if s not in known)))
+        return [known[s] + known[w[-1]] if e else known[s] for w, s, e in zip(words, stems, ends)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and how many each text has."""
@@ -60,7 +69,7 @@ class WordEncoder:
         per_word = self._ids(coded.dictionary.to_pylist())
         sizes = np.array([len(x) for x in per_word], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        flat = np.concatenate(per_word) if per_word else np.empty(0, np.uint32)
+        flat = np.fromiter((i for ids in per_word for i in ids), np.uint32, int(sizes.sum()))
         words = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[words]
         ends = np.cumsum(counts)
