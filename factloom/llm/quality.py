@@ -43,15 +43,18 @@ def text_view(text: str) -> list[float]:
     words, lines = text.split(), text.split("\n")
     n, size, letters = len(words), max(1, int(raw.sum())), max(1, int(raw[_LETTER].sum()))
     if not n:
-        return [0.0] * 15
+        return [0.0] * 19
     distinct = len(set(words))
     repeats = sum(a == b for a, b in zip(words, words[1:]))
     signed = sum(not w[-1].isalnum() for w in words)
     heaps = distinct / n**0.9
+    bare = sum(w.isalnum() for w in words) / n
+    few = lambda share: float(np.log1p(100 * share))  # noqa: E731  small shares count as well
     return [
         float(np.log1p(n)), len(text) / n, distinct / n, heaps, repeats / n, signed / n,
         float(raw[_UPPER].sum()) / letters, float(raw[_DIGIT].sum()) / size, float(raw[_POINT].sum()) / size, float(raw[_SIGN].sum()) / size,
         float(raw[33]) / size, float(raw.max()) / size, len(lines) / n, 1 - len(set(lines)) / len(lines), sum(w.isupper() for w in words) / n,
+        few(raw[_SIGN].sum() / size), few(repeats / n), few(raw[33] / size), bare,
     ]
 
 
@@ -110,7 +113,7 @@ class CoTrained:
     """Both views' classifiers, their calibrations and the combination."""
 
     def __init__(self, seen: dict[str, tuple[np.ndarray, np.ndarray]], held: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.view = {v: Logistic(x, y) for v, (x, y) in seen.items()}
+        self.view = {v: Logistic(x, y, ridge=0.3) for v, (x, y) in seen.items()}
         self.calibration = {v: Logistic(self.view[v].logit(x)[:, None], y, ridge=0.1) for v, (x, y) in held.items()}
         both = np.stack([self.calibrated(v, held[v][0]) for v in ("text", "meta")], axis=1)
         self.join = Logistic(both, held["text"][1], ridge=0.1)

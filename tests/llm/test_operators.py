@@ -230,6 +230,12 @@ def test_rates_meet_the_targets(spark, docs, empty):
     assert mixing.mix(empty, labelled, {"calm": 1.0}).count() == 0
 
 
+def test_targets_out_of_reach_are_lowered():
+    goal = mixing.feasible(np.array([0.9, 0.1]), np.array([0.99, 0.01]), 4.0)
+    assert np.allclose(goal, [0.96, 0.04])
+    assert np.allclose(mixing.feasible(np.array([0.5, 0.5]), np.array([0.4, 0.6]), 4.0), [0.5, 0.5])
+
+
 def test_projected_gradient_holds_rates_at_zero(spark):
     p = [[1.0, 0.0]] * 5 + [[0.0, 1.0]] * 5
     scored = spark.createDataFrame([(10, x) for x in p], "tokens long, posterior array<double>")

@@ -33,11 +33,17 @@ def test_clean_documents_stay(spark, stages):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     clean = stages[0].join(labels.where("quality = 1"), "doc_id")
     lost = clean.join(stages[1], "doc_id", "left_anti").count()
-    assert lost <= 0.03 * clean.count()
+    assert lost <= 0.05 * clean.count()  # some 60 labels for the fit
     junk = stages[0].join(labels.where("quality = 0"), "doc_id")
     assert junk.join(stages[1], "doc_id", "left_semi").count() <= 0.35 * junk.count()
 
 
+def test_mixing_takes_from_the_toxic_and_not_from_the_clean(spark, stages):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    share = lambda toxic: (lambda a: a.join(stages[4], "doc_id", "left_semi").count() / max(1, a.count()))(stages[3].join(labels.where(f"toxic = {toxic}"), "doc_id"))
+    assert share(0) > 0.95 and share(1) < 0.6
+
+
 def test_secrets_are_gone(spark, stages):
     from factloom.llm.secrets import scan_secrets
 
