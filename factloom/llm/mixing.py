@@ -99,7 +99,21 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
-def solve_rates(scored: DataFrame, weights: list[float], rounds: int = 40, near: float = 1e-5) -> list[np.ndarray]:
+def feasible(goal: np.ndarray, there: np.ndarray, boost: float) -> np.ndarray:
+    """Target shares of which none is over ``boost`` times what is there; the others take the rest in their proportions."""
+    goal, fixed = goal / goal.sum(), np.zeros(len(goal), bool)
+    for _ in goal:
+        over = ~fixed & (goal > boost * there)
+        if not over.any() or (fixed | over).all():
+            break
+        fixed |= over
+        goal = np.where(over, boost * there, goal)
+        rest = goal[~fixed].sum()
+        goal[~fixed] *= (1 - goal[fixed].sum()) / rest if rest else 1
+    return goal
+
+
+def solve_rates(scored: DataFrame, weights: list[float], boost: float = 4.0, rounds: int = 40, near: float = 1e-5) -> list[np.ndarray]:
     """The steps of projected gradient; ``scored``: tokens, posterior. Steps are scaled by the inverse of the Gram matrix of
     the domains, so the objective is least squares in its metric and a step of one never overshoots."""
     k = len(weights)
@@ -128,6 +142,8 @@ def solve_rates(scored: DataFrame, weights: list[float], rounds: int = 40, near:
         total, gram, tokens = sums(steps)
         if not tokens:
             break
+        if not steps:
+            goal = feasible(goal, total / tokens, boost)
         off = goal * tokens - total
         if np.abs(off).max() <= near * tokens:
             break
@@ -135,11 +151,12 @@ def solve_rates(scored: DataFrame, weights: list[float], rounds: int = 40, near:
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, boost: float = 4.0) -> DataFrame:
     """The columns ``keep`` of ``docs`` (None: all) with tokens, posterior (by sorted domain name) and rate.
 
     A document's rate is how often it should be read so that the expected tokens of each domain, of all tokens, have the
-    target weights; zero leaves it out. Null or empty text has no tokens and takes no part in the sums, but gets a rate. Equal
+    target weights; zero leaves it out. A domain is raised to ``boost`` times its expected share at most: one that is hardly
+    there would else take all weight from documents that hardly belong to it. Null or empty text has no tokens and takes no part in the sums, but gets a rate. Equal
     texts get equal rates; an empty table gives an empty result; columns of these names are replaced.
     """
     arrow_rows(docs.sparkSession, 2000)
@@ -147,7 +164,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate")]
     scored = posteriors(docs, labelled, domains)
     scored = materialize(scored.select(*names, "tokens", "posterior"))
-    steps = solve_rates(scored, [targets[d] for d in domains])
+    steps = solve_rates(scored, [targets[d] for d in domains], boost)
     rates = F.pandas_udf(lambda p: pd.Series(replay(np.stack(p), steps) if len(p) else np.empty(0)), "double")
     return scored.withColumn("rate", rates("posterior"))
 
