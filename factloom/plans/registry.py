@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.latency import moving_average, percentiles
-from factloom.operators import conflicts, graph, merges, resolve, retention, scan
+from factloom.operators import conflicts, graph, lookups, merges, resolve, retention, scan
 from factloom.schema import KEY, Family
 from factloom.sources.database import multi_exists
 from factloom.sources.derive import DAY, events_as_facts, orders_as_graph
@@ -377,3 +377,31 @@ def read_your_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = resolve.seen(facts, S0).unionByName(conform(staged))
     return scan.state_scan(both, USERS, S0 + 1, ["entity_id", "valid_from", "float64_value"])
+
+
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq % 97 = 5")
+def exact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of full keys that are taken from the history, with keys that aren't there among them."""
+    facts = events_as_facts(spark, sf_dir)
+    keys = facts.where("commit_seq % 97 = 5").select(*lookups.EXACT)
+    return lookups.exact_facts(facts, keys.unionByName(keys.withColumn("valid_from", F.col("valid_from") + 1))).select(*ROW)
+
+
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE (entity_id BETWEEN 3 AND 9 OR entity_id BETWEEN 50 AND 55 OR entity_id BETWEEN 120 AND 140) AND commit_seq <= {S0}")
+def multi_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.multi_range_scan(events_as_facts(spark, sf_dir), USERS, [(3, 9), (50, 55), (120, 140)], S0).select(*ROW)
+
+
+@query(f"WITH {EVENTS} SELECT part_id, entity_id FROM ({_state_sql(T0, S0)}) WHERE float64_value BETWEEN 20 AND 60")
+def entities_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.entities_by_value(scan.state_scan(events_as_facts(spark, sf_dir), USERS, S0), "float64_value", 20, 60)
+
+
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE valid_from > {T0 - 2 * DAY}")
+def ttl_unexpired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.unexpired(events_as_facts(spark, sf_dir), T0, 2 * DAY).select(*ROW)
+
+
+@query("SELECT vec_id FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS d FROM embeddings WHERE len(embedding) = 64) ORDER BY d, vec_id LIMIT 10")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), [0.0] * 64, 10).select("vec_id")
