@@ -39,18 +39,25 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-ad comment comments commentlist complementary consent contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices notification popup promo promoted promotion recommended related replies respond rail search share sharing sidebar signup skyscraper social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+# A class like has-sidebar speaks of the layout around it; an element named for one that holds the article isn't one.
+MODIFIERS = frozenset("has with without no is layout page body site".split())
+LAYOUT_WORDS = frozenset("footer header masthead menu navigation rail sidebar widget widgets".split())
 DEEP = 120
 
 
 def label_of(tag: str, attributes: str) -> tuple[str, bool]:
     """A token's name in wrappers, and whether it is one of those that never hold main text."""
-    words = []
-    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
-        words.append(a or b or c)
-    text = " ".join(words)
-    parts = {w for w in re.split(r"[^a-z0-9]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()) if w} if text else set()
-    aside = tag in ASIDE_TAGS or bool(parts & ASIDE_WORDS)
-    return (f"{tag}.{'.'.join(sorted(parts))}" if parts else tag), aside and tag not in ("html", "body", "article", "main")
+    parts, words = set(), set()
+    for _, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        for name in "".join(values).split():
+            found = [w for w in re.split(r"[^a-z0-9]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            parts.update(found)
+            if found and found[0] not in MODIFIERS:
+                words.update(found)
+    whole = tag in ("html", "body", "article", "main")
+    aside = bool(words & COMMENT_WORDS) and tag not in ("html", "body") or not whole and (tag in ASIDE_TAGS or bool(words & ASIDE_WORDS))
+    return (f"{tag}.{'.'.join(sorted(parts))}" if parts else tag), aside
 
 
 class Element:
@@ -101,6 +108,9 @@ def parse(page: str) -> Element:
             if stack[i].tag in SCOPES and stack[i].tag not in CLOSES[tag]:
                 break
         new = Element(tag, *label_of(tag, m[3]))
+        if tag in ("article", "main") and not new.aside:
+            for x in stack:
+                x.aside = x.aside and not (x.tag not in ASIDE_TAGS and set(x.label.split(".")[1:]) & ASIDE_WORDS <= LAYOUT_WORDS)
         stack[-1].children.append(new)
         if tag not in VOID and not m[3].endswith("/") and len(stack) < DEEP:
             stack.append(new)

@@ -100,6 +100,7 @@ PAGES = [
     ("no url", "", ""),
     ("http://c.example/", "plain text only <", "plain text only <"),
     ("http://a.example/3", '<article><p>Cut off in the middle of a <a href="', "Cut off in the middle of a"),
+    ("http://e.example/1", '<body class="has-comments"><div class="wrap sidebar-left"><main><article class="post no-sidebar"><p>Kept text.</p></article></main></div><ol class="comment-list"><li><article class="comment"><p>Reader one</p></article></ol></body>', "Kept text."),
     ("http://d.example/deep", "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
 ]
 
