@@ -8,12 +8,12 @@ import numpy as np
 class Shard:
     """Strings end to end, parted by zero bytes, and their transform.
 
-    ``order`` sorts the places by the ``depth`` bytes (a multiple of eight, rounded up to a power of two) that begin there,
-    around the end; ``bwt`` has the two bytes before each, as one symbol. What reads across a zero compares in some way that
-    doesn't matter: only places that have ``depth`` bytes of one string before them count in the end.
+    The transform is of bounded order: ``order`` sorts the places by the ``depth`` bytes (8, 16, 32 ...) that begin there,
+    around the end, and the merge goes on from there; ``bwt`` has the two bytes before each, as one symbol. What reads across a zero compares in some way that
+    doesn't matter: only places that have as many bytes of one string before them as the merge compares count in the end.
     """
 
-    def __init__(self, strings: list[bytes], depth: int):
+    def __init__(self, strings: list[bytes], depth: int = 16):
         lengths = np.array([len(s) + 1 for s in strings], dtype=np.int64)
         self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths - 1
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
@@ -84,7 +84,7 @@ def repeated(strings: list[bytes], ids: np.ndarray, at: np.ndarray, depth: int,
             size = 0
         parts[-1].append(i)
         size += len(s)
-    shards = [Shard([strings[i] for i in p], depth) for p in parts if p]
+    shards = [Shard([strings[i] for i in p]) for p in parts if p]
     interleave, block = merge(shards, depth)
     if not len(block):
         return []
