@@ -226,8 +226,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     read it in place."""
     spark = df.sparkSession
     name = f"factloom_{uuid.uuid4().hex}"
-    with shuffles_end(spark):
-        df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    n = shuffle_partitions(spark)
+    with shuffles_end(spark):  # dealt by the key first, a task writes one file and not one for each bucket
+        df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
