@@ -69,6 +69,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def hashed_share(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, or all if there are fewer: those whose key's hash falls in a share of its range.
+
+    What a later limit() takes from each task is then bounded over all tasks together.
+    """
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_rows, materialize, whole_text
+from factloom.llm.common import arrow_rows, hashed_share, materialize, whole_text
 from factloom.llm.quality import text_view
 
 BUCKETS = 1024
@@ -67,7 +67,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_lab
     hash of the id. Without any, posteriors are even.
     """
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sample = docs.select("doc_id", whole_text().alias("text")).join(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "doc_id")
+    sample = docs.select("doc_id", whole_text().alias("text")).join(hashed_share(known, "doc_id", int(1.25 * max_labelled)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "doc_id")
 
     def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

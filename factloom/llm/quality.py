@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_rows, materialize, whole_text
+from factloom.llm.common import arrow_rows, hashed_share, materialize, whole_text
 
 SOURCES, LANGS = 16, 8
 VIEWS = "text array<float>, meta array<float>"
@@ -157,7 +157,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, per_round: int
     arrow_rows(docs.sparkSession, 2000)
     seen = materialize(docs.select("doc_id", features(docs).alias("f")).select("doc_id", "f.text", "f.meta", F.xxhash64("doc_id").alias("pick")))
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
-    rows = seen.join(known, "doc_id").orderBy("pick", "doc_id").limit(max_labelled).select("label", "pick", "text", "meta").toPandas()
+    sample = hashed_share(known, "doc_id", int(1.25 * max_labelled))
+    rows = seen.join(sample, "doc_id").orderBy("pick", "doc_id").limit(max_labelled).select("label", "pick", "text", "meta").toPandas()
     if not len(rows):
         width = (len(text_view("a")), len(meta_view(None, None, None)))
         rows = pd.DataFrame({"label": [1], "pick": [0], "text": [np.zeros(width[0])], "meta": [np.zeros(width[1])]})
