@@ -310,6 +310,41 @@ def test_passages_of_fifty_words_are_found(docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_planted_pairs_are_found_in_place_though_shingles_repeat():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**31, n).astype(np.int32)
+    p = fresh(60)
+    doc = np.concatenate([fresh(30), p, fresh(20)])
+    after, before, twice = np.concatenate([fresh(10), p, fresh(36), p[10:15], fresh(30)]), np.concatenate([fresh(10), p[20:25], fresh(36), p, fresh(30)]), np.concatenate([p, fresh(30), p, fresh(9)])
+    for source, places in ((after, [10]), (before, [51]), (twice, [0, 90])):
+        got = passages.similar_stretches(doc, source, 5, 46, 0.8)
+        assert sorted(got) == [(30, 90, y, y + 60, 1.0) for y in places]
+    for first in range(7):  # an edit that leaves less than the least length in one piece
+        edited = p[:50].copy()
+        edited[first * 7] = 1
+        a, b = np.concatenate([fresh(9), p[:50], fresh(9)]), np.concatenate([fresh(5), edited, fresh(20)])
+        assert any(x0 <= 9 + 7 and 59 - 7 <= x1 and y1 - y0 >= 50 and share >= 0.8 for x0, x1, y0, y1, share in passages.similar_stretches(a, b, 5, 46, 0.8))
+
+    # Brute force: the shingles that any two windows of the least length share, if they are similar enough, lie in rows.
+    width, least, met = 3, 12, 0
+    for _ in range(60):
+        few = rng.integers(0, 12, 40).astype(np.int32)  # its shingles repeat at times
+        a, b = (np.concatenate([fresh(6), np.where(rng.random(40) < 0.04, 99, few).astype(np.int32), few[:9], fresh(5)]) for _ in range(2))
+        rows = list(passages.similar_stretches(a, b, width, least, 0.8))
+        sa, sb = ([tuple(t[i : i + width]) for i in range(len(t) - width + 1)] for t in (a, b))
+        for x0, x1, y0, y1, share in rows:
+            p, q = set(sa[x0 : x1 - width + 1]), set(sb[y0 : y1 - width + 1])
+            assert min(x1 - x0, y1 - y0) >= least + width - 1 and share == len(p & q) / len(p | q) >= 0.8
+        held_a, held_b = ({i for r in rows for i in range(r[k], r[k + 1] - width + 1)} for k in (0, 2))
+        for i in range(len(sa) - least + 1):
+            for j in range(len(sb) - least + 1):
+                p, q = set(sa[i : i + least]), set(sb[j : j + least])
+                if len(p & q) >= 0.8 * len(p | q):
+                    met += 1
+                    assert {k for k in range(i, i + least) if sa[k] in q} <= held_a and {k for k in range(j, j + least) if sb[k] in p} <= held_b
+    assert met > 500
+
+
 def test_compact_windows_cover_each_passage_once():
     rng = np.random.default_rng(4)
     words, sizes = rng.integers(0, 50, 130).astype(np.int32), np.array([70, 3, 57])
