@@ -1,8 +1,8 @@
-"""Near-duplicate join on n-gram Jaccard similarity: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on n-gram Jaccard similarity: MinHash banding, then exact verification.
 
-Each text's set of word shingles gets a min-hash signature, cut into one label for each tree. Sorted by its label, a tree
-is a prefix trie: texts under one node share a prefix. The match starts at full labels and shortens the prefix, value by
-value, until pairs at the wanted similarity meet in some tree with the wanted recall. Texts that meet are candidates;
+Each text's set of word shingles gets a min-hash signature, cut into one label for each tree. An LSH forest would match
+full labels in prefix tries and shorten the prefix; here its final length, at which pairs at the wanted similarity meet in
+some tree with the wanted recall, is computed beforehand and just that prefix is hashed. Texts that meet are candidates;
 their components are gathered, dealt in bounded blocks, and every pair of texts inside is compared exactly.
 """
 
