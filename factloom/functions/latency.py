@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Upper bounds of the buckets, in microseconds; the last bucket is open.
 BOUNDS = (10, 50, 100, 250, 500, 1000, 2000, 5000, 10000, 25000, 50000, 100000)
@@ -34,3 +38,29 @@ def percentiles(df: DataFrame, keys: list[str], latency: str, wanted: list[int])
 def moving_average(samples: Column) -> Column:
     """Of an ordered array of integers: the average that moves by an eighth, in integer arithmetic; zero starts anew."""
     return F.aggregate(samples, F.lit(0).cast("long"), lambda old, s: F.when(old == 0, s.cast("long")).otherwise(old - F.floor(old / 8) + F.floor(s / 8)))
+
+
+def moving_averages(df: DataFrame, keys: list[str], order: str, sample: str) -> DataFrame:
+    """``keys`` and average: moving_average() of each key's samples in their order; null counts as zero.
+
+    The samples of a key pass by one after the other, sorted; none of them are kept, however many there are.
+    """
+    names = [f.name for f in df.select(*keys).schema.fields]
+    out = T.StructType([*df.select(*keys).schema.fields, T.StructField("average", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, average = None, 0
+        for b in batches:
+            done = []
+            for row in zip(*(b[c] for c in names), b["_sample"]):
+                if row[:-1] != key:
+                    if key is not None:
+                        done.append((*key, average))
+                    key, average = row[:-1], 0
+                average = row[-1] if average == 0 else average - average // 8 + row[-1] // 8
+            yield pd.DataFrame(done, columns=[*names, "average"])
+        if key is not None:
+            yield pd.DataFrame([(*key, average)], columns=[*names, "average"])
+
+    rows = df.select(*keys, F.coalesce(F.col(sample).cast("long"), F.lit(0)).alias("_sample"), F.col(order).alias("_order"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_order").drop("_order").mapInPandas(run, out)

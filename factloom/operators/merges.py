@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +43,32 @@ def sort_lists(value: str) -> Column:
 
 
 def xor_bytes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys`` and ``value``: the operands' XOR; the tail of a longer one stays. Position by position, so it combines in each task."""
-    byte = df.select(*keys, F.posexplode(F.expr(f"regexp_extract_all(hex({value}), '..', 0)")).alias("_at", "_hex"))
-    cells = byte.groupBy(*keys, "_at").agg(F.bit_xor(F.conv("_hex", 16, 10).cast("int")).alias("_b"))
-    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_b"))).alias("_r"))
-    text = F.array_join(F.transform("_r", lambda r: F.lpad(F.hex(r["_b"]), 2, "0")), "")
-    return rows.select(*keys, F.unhex(text).alias(value))
+    """``keys`` and ``value``: the operands' XOR; the tail of a longer one stays. By words of eight bytes, so it combines in each
+    task and a key of any number of operands is as many rows as its longest operand has words."""
+    digits = F.hex(value)
+    words = F.transform(F.regexp_extract_all(digits, F.lit(".{1,16}"), F.lit(0)), lambda w: F.conv(F.rpad(w, 16, "0"), 16, -10).cast("long"))
+    cells = df.select(*keys, F.length(digits).alias("_size"), F.posexplode_outer(words).alias("_at", "_word"))
+    cells = cells.groupBy(*keys, "_at").agg(F.bit_xor("_word").alias("_word"), F.max("_size").alias("_size"))
+    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_word")))).alias("_r"), F.max("_size").alias("_size"))
+    text = F.array_join(F.transform("_r", lambda r: F.lpad(F.hex(r["_word"]), 16, "0")), "")
+    return rows.select(*keys, F.unhex(F.substring(text, F.lit(1), F.col("_size"))).alias(value))
 
 
-#: Named aggregates: from the operands of one key, in order, to a value.
-NAMED: dict[str, Callable[[list], object]] = {"sum": sum, "max": max, "min": min, "last": lambda x: x[-1], "count": len}
+#: Named aggregates: from the names of the value and sequence columns to an aggregate.
+NAMED: dict[str, Callable[[str, str], Column]] = {"sum": lambda v, s: F.try_sum(v), "max": lambda v, s: F.max(v), "min": lambda v, s: F.min(v), "last": F.max_by, "count": lambda v, s: F.count(v)}
 
 
-def named_aggregate(df: DataFrame, keys: list[str], name: str, value: str, sequence: str, registry: dict[str, Callable] | None = None) -> DataFrame:
-    """``keys`` and ``value``: each key's operands, merged by the function that its last operand names in the column ``name``.
+def named_aggregate(df: DataFrame, keys: list[str], name: str, value: str, sequence: str, registry: dict[str, Callable[[str, str], Column]] | None = None) -> DataFrame:
+    """``keys`` and ``value``: each key's operands, merged by the aggregate that its last operand names in the column ``name``.
 
-    Functions are looked up in ``registry`` (default NAMED); an unknown name gives null. The operands of one key are one
-    group, as a function of all of them needs.
+    Aggregates are looked up in ``registry`` (default NAMED); an unknown name gives null, and so does a sum beyond the type. All of them are taken in one pass,
+    in each task before the shuffle, and the one that is named is picked at the end.
     """
     known = NAMED if registry is None else registry
-    value_type = df.schema[value].dataType.simpleString()
-    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def merged(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(sequence)
-        function = known.get(part[name].iloc[-1])
-        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, value: [function(part[value].tolist()) if function else None]})
-
-    return df.select(*keys, name, value, sequence).groupBy(*keys).applyInPandas(merged, f"{key_types}, `{value}` {value_type}")
+    kind = df.schema[value].dataType
+    made = [f(value, sequence).cast(kind).alias(f"_{n}") for n, f in known.items()]
+    merged = df.groupBy(*keys).agg(F.max_by(name, sequence).alias("_name"), *made)
+    picked = F.lit(None).cast(kind)
+    for n in known:
+        picked = F.when(F.col("_name") == n, F.col(f"_{n}")).otherwise(picked)
+    return merged.select(*keys, picked.alias(value))

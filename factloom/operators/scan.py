@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.errors import InvalidArgument, NotSupported
 from factloom.operators.resolve import resolve, seen
@@ -88,14 +89,14 @@ def ordered(df: DataFrame) -> DataFrame:
 
 
 def in_batches(df: DataFrame, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The rows as Arrow batches of at most ``rows``, one partition after the other; stopping early reads no further ones."""
+    """The rows as Arrow batches of at most ``rows`` and of the schema of ``df``, one partition after the other; stopping early reads no further ones."""
     if rows <= 0:
         raise InvalidArgument("a batch has at least one row")
-    names = df.columns
+    names, schema = df.columns, to_arrow_schema(df.schema)
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held])
+        made = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema=schema)
         held.clear()
         return made
 

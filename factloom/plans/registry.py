@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.latency import moving_average, percentiles
-from factloom.operators import conflicts, graph, lookups, merges, resolve, retention, scan
-from factloom.schema import KEY, Family
-from factloom.sources.database import multi_exists
+from factloom.functions.latency import moving_averages, percentiles
+from factloom.functions.values import same_value
+from factloom.operators import catalogue, conflicts, graph, lookups, merges, resolve, retention, scan
+from factloom.schema import KEY, VALUES, Family, canonical_order, conform, invalid_reason
 from factloom.sources.derive import DAY, events_as_facts, orders_as_graph
-from factloom.sources.layout import changes
+from factloom.sources.layout import changes, read_facts, scratch_folder, write_facts
 
 T0 = 1_705_276_800_000_000  # 2024-01-15
-S0, BOUNDARY = 6000, 4000
+#: Snapshots and boundaries are shares of all commits, so that queries see as large a part of tables of any size.
+S0, S1, OLD, BOUNDARY = 60, 65, 15, 40
 G_TIME = 896_659_200_000_000  # 1998-06-01
 USERS = scan.ScanSpec(Family.VERTEX_PROPERTY, 1, 0, valid_time=T0)
 
@@ -46,10 +48,21 @@ vertex_facts AS (
 ), price AS (
   SELECT CAST(2 AS BIGINT) AS part_id, o_orderkey + 1 AS entity_id, epoch_us(o_orderdate::TIMESTAMP) AS valid_from, CAST(2 AS BIGINT) AS commit_seq, o_totalprice FROM orders
 )"""
+
+
+def _at(percent: int) -> str:
+    """That share of the commits, in SQL."""
+    return f"(SELECT n * {percent} // 100 FROM events_n)"
+
+
+def _seq(spark: SparkSession, sf_dir: str, percent: int) -> int:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").count() * percent // 100
+
+
 CHAIN = "part_id, fact_family, property_id, entity_id"
 
 
-def _state_sql(t: int, s: int, source: str = "facts") -> str:
+def _state_sql(t: int, s: int | str, source: str = "facts") -> str:
     return f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {CHAIN} ORDER BY valid_from DESC, commit_seq DESC) AS rn FROM {source} WHERE valid_from <= {t} AND commit_seq <= {s}) WHERE rn = 1 AND operation = 1"
 
 
@@ -81,15 +94,15 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
-@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq <= {S0}")
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq <= {_at(S0)}")
 def event_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.event_scan(events_as_facts(spark, sf_dir), USERS, S0, ROW)
+    return scan.event_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, S0), ROW)
 
 
-@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq <= {S0} AND entity_id BETWEEN 10 AND 60 AND valid_from BETWEEN {T0 - 5 * DAY} AND {T0} AND commit_seq BETWEEN 100 AND 5000")
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq <= {_at(S0)} AND entity_id BETWEEN 10 AND 60 AND valid_from BETWEEN {T0 - 5 * DAY} AND {T0} AND commit_seq BETWEEN {_at(1)} AND {_at(50)}")
 def event_scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = scan.ScanSpec(Family.VERTEX_PROPERTY, 1, 0, entity=(10, 60), valid_from=(T0 - 5 * DAY, T0), commit_seq=(100, 5000))
-    return scan.event_scan(events_as_facts(spark, sf_dir), spec, S0, ROW)
+    spec = scan.ScanSpec(Family.VERTEX_PROPERTY, 1, 0, entity=(10, 60), valid_from=(T0 - 5 * DAY, T0), commit_seq=(_seq(spark, sf_dir, 1), _seq(spark, sf_dir, 50)))
+    return scan.event_scan(events_as_facts(spark, sf_dir), spec, _seq(spark, sf_dir, S0), ROW)
 
 
 @query(f"WITH {EVENTS} SELECT entity_id, valid_from, commit_seq FROM facts")
@@ -97,28 +110,28 @@ def event_scan_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.event_scan(events_as_facts(spark, sf_dir), USERS, None, ["entity_id", "valid_from", "commit_seq"])
 
 
-@query(f"WITH {EVENTS} {_state_sql(T0, S0).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
+@query(f"WITH {EVENTS} {_state_sql(T0, _at(S0)).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
 def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, S0, ROW)
+    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, S0), ROW)
 
 
-@query(f"WITH {EVENTS} {_state_sql(T0, 1500).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
+@query(f"WITH {EVENTS} {_state_sql(T0, _at(OLD)).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
 def state_as_of_old_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, 1500, ROW)
+    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, OLD), ROW)
 
 
-@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM ({_state_sql(T0, S0)}) WHERE entity_id BETWEEN 5 AND 120 AND valid_from BETWEEN {T0 - 3 * DAY} AND {T0} AND commit_seq BETWEEN 1 AND 5500")
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM ({_state_sql(T0, _at(S0))}) WHERE entity_id BETWEEN 5 AND 120 AND valid_from BETWEEN {T0 - 3 * DAY} AND {T0} AND commit_seq BETWEEN 1 AND {_at(55)}")
 def state_scan_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = scan.ScanSpec(Family.VERTEX_PROPERTY, 1, 0, T0, (5, 120), (T0 - 3 * DAY, T0), (1, 5500))
-    return scan.state_scan(events_as_facts(spark, sf_dir), spec, S0, ROW)
+    spec = scan.ScanSpec(Family.VERTEX_PROPERTY, 1, 0, T0, (5, 120), (T0 - 3 * DAY, T0), (1, _seq(spark, sf_dir, 55)))
+    return scan.state_scan(events_as_facts(spark, sf_dir), spec, _seq(spark, sf_dir, S0), ROW)
 
 
 @query(
-    f"WITH {EVENTS} SELECT entity_id, schema_epoch, physical_type, CAST(NULL AS BOOLEAN) AS bool_value, CAST(NULL AS INTEGER) AS int32_value, CAST(NULL AS BIGINT) AS int64_value, CAST(NULL AS FLOAT) AS float32_value, float64_value, CAST(NULL AS BIGINT) AS timestamp64_value, CAST(NULL AS BIGINT) AS source_vertex_id FROM ({_state_sql(T0, S0)})"
+    f"WITH {EVENTS} SELECT entity_id, schema_epoch, physical_type, CAST(NULL AS BOOLEAN) AS bool_value, CAST(NULL AS INTEGER) AS int32_value, CAST(NULL AS BIGINT) AS int64_value, CAST(NULL AS FLOAT) AS float32_value, float64_value, CAST(NULL AS BIGINT) AS timestamp64_value, CAST(NULL AS BIGINT) AS source_vertex_id FROM ({_state_sql(T0, _at(S0))})"
 )
 def state_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["entity_id", "schema_epoch", "physical_type", "bool_value", "int32_value", "int64_value", "float32_value", "float64_value", "timestamp64_value", "source_vertex_id"]
-    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, S0, columns)
+    return scan.state_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, S0), columns)
 
 
 @query(f"WITH {GRAPH} SELECT part_id, entity_id FROM {_live_sql('vertex_facts', G_TIME, 6)}")
@@ -146,38 +159,38 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM requests r LEFT JOIN live l ON l.part_id = r.part_id AND l.fact_family = r.fact_family AND l.entity_id = r.entity_id"""
 )
 def multi_exists_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multi_exists(orders_as_graph(spark, sf_dir), _requests(spark, sf_dir), G_TIME, 6)
+    return graph.multi_exists(orders_as_graph(spark, sf_dir), _requests(spark, sf_dir), G_TIME, 6)
 
 
-@query(f"WITH {EVENTS} SELECT entity_id, float64_value FROM ({_state_sql(T0, S0)}) WHERE entity_id IN (1, 7, 42, 99, 100000)")
+@query(f"WITH {EVENTS} SELECT entity_id, float64_value FROM ({_state_sql(T0, _at(S0))}) WHERE entity_id IN (1, 7, 42, 99, 100000)")
 def get_vertex_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = events_as_facts(spark, sf_dir).where(F.col("entity_id").isin(1, 7, 42, 99, 100000))
-    return scan.state_scan(wanted, USERS, S0, ["entity_id", "float64_value"])
+    return scan.state_scan(wanted, USERS, _seq(spark, sf_dir, S0), ["entity_id", "float64_value"])
 
 
 @query(
-    f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from ORDER BY commit_seq DESC) AS rn FROM facts WHERE commit_seq <= {S0})
+    f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from ORDER BY commit_seq DESC) AS rn FROM facts WHERE commit_seq <= {_at(S0)})
     SELECT {CHAIN}, max(valid_from) FILTER (valid_from <= {T0}) AS observed, arg_max(commit_seq, valid_from) FILTER (valid_from <= {T0}) AS observed_commit,
       arg_max(operation, valid_from) FILTER (valid_from <= {T0}) AS observed_operation, max(valid_from) FILTER (valid_from < {T0}) AS predecessor, min(valid_from) FILTER (valid_from > {T0}) AS successor
     FROM b WHERE rn = 1 GROUP BY {CHAIN}"""
 )
 def neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.neighborhood(events_as_facts(spark, sf_dir), T0, S0)
+    return resolve.neighborhood(events_as_facts(spark, sf_dir), T0, _seq(spark, sf_dir, S0))
 
 
 @query(
-    f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from ORDER BY commit_seq DESC) AS rn FROM facts WHERE commit_seq <= {S0})
+    f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from ORDER BY commit_seq DESC) AS rn FROM facts WHERE commit_seq <= {_at(S0)})
     SELECT {ROW_SQL}, lead(valid_from) OVER (PARTITION BY {CHAIN} ORDER BY valid_from) AS valid_to FROM b WHERE rn = 1"""
 )
 def validity_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.intervals(events_as_facts(spark, sf_dir), S0).select(*ROW, "valid_to")
+    return resolve.intervals(events_as_facts(spark, sf_dir), _seq(spark, sf_dir, S0)).select(*ROW, "valid_to")
 
 
 @query(
     f"""WITH {EVENTS}, probes AS (SELECT event_id, user_id + 1 AS entity_id, epoch_us(ts::TIMESTAMP) - {DAY} AS valid_time FROM events),
     ranked AS (SELECT p.event_id, p.valid_time, f.entity_id, f.valid_from, f.commit_seq, f.operation, f.float64_value,
         row_number() OVER (PARTITION BY p.event_id ORDER BY f.valid_from DESC NULLS LAST, f.commit_seq DESC) AS rn
-      FROM probes p LEFT JOIN facts f ON f.entity_id = p.entity_id AND f.valid_from <= p.valid_time AND f.commit_seq <= {S0})
+      FROM probes p LEFT JOIN facts f ON f.entity_id = p.entity_id AND f.valid_from <= p.valid_time AND f.commit_seq <= {_at(S0)})
     SELECT event_id, valid_time, CASE WHEN operation = 1 THEN valid_from END AS f_valid_from, CASE WHEN operation = 1 THEN commit_seq END AS f_commit_seq, CASE WHEN operation = 1 THEN float64_value END AS f_float64_value
     FROM ranked WHERE rn = 1"""
 )
@@ -186,7 +199,7 @@ def temporal_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     probes = events.select(F.lit(0).cast("long").alias("part_id"), F.lit(2).alias("fact_family"), F.lit(1).alias("property_id"), (F.col("user_id") + 1).alias("entity_id"), "event_id", (micros("ts") - DAY).alias("valid_time"))
-    return resolve.as_of_join(probes, events_as_facts(spark, sf_dir), commit_seq=S0, buckets=4).select("event_id", "valid_time", "f_valid_from", "f_commit_seq", "f_float64_value")
+    return resolve.as_of_join(probes, events_as_facts(spark, sf_dir), commit_seq=_seq(spark, sf_dir, S0), buckets=4).select("event_id", "valid_time", "f_valid_from", "f_commit_seq", "f_float64_value")
 
 
 @query(f"WITH {GRAPH} SELECT * FROM identity WHERE commit_seq <= 6")
@@ -224,86 +237,147 @@ def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.in_edges(orders_as_graph(spark, sf_dir), G_TIME, 6))
 
 
-_SURVIVORS = f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from, commit_seq <= {BOUNDARY} ORDER BY commit_seq DESC) AS rn FROM facts) WHERE commit_seq > {BOUNDARY} OR rn = 1"
+_SURVIVORS = f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from, commit_seq <= {_at(BOUNDARY)} ORDER BY commit_seq DESC) AS rn FROM facts) WHERE commit_seq > {_at(BOUNDARY)} OR rn = 1"
 
 
 @query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM ({_SURVIVORS})")
 def vacuum_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention.survivors(events_as_facts(spark, sf_dir), BOUNDARY).select(*ROW)
+    return retention.survivors(events_as_facts(spark, sf_dir), _seq(spark, sf_dir, BOUNDARY)).select(*ROW)
 
 
-@query(f"WITH {EVENTS} {_state_sql(T0, S0).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
+@query(f"WITH {EVENTS} {_state_sql(T0, _at(S0)).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
 def state_after_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.state_scan(retention.survivors(events_as_facts(spark, sf_dir), BOUNDARY), USERS, S0, ROW)
+    return scan.state_scan(retention.survivors(events_as_facts(spark, sf_dir), _seq(spark, sf_dir, BOUNDARY)), USERS, _seq(spark, sf_dir, S0), ROW)
 
 
-@query(f"WITH {EVENTS} SELECT commit_seq, count(*) AS n_facts, min(entity_id) AS first_entity FROM facts WHERE commit_seq > 2000 AND commit_seq <= 3000 GROUP BY commit_seq")
+@query(f"WITH {EVENTS} SELECT commit_seq, count(*) AS n_facts, min(entity_id) AS first_entity FROM facts WHERE commit_seq > {_at(20)} AND commit_seq <= {_at(30)} GROUP BY commit_seq")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(events_as_facts(spark, sf_dir), 2000, 3000).select("commit_seq", "n_facts", F.col("facts")[0]["entity_id"].alias("first_entity"))
+    return changes(events_as_facts(spark, sf_dir), _seq(spark, sf_dir, 20), _seq(spark, sf_dir, 30)).select("commit_seq", "n_facts", F.col("facts")[0]["entity_id"].alias("first_entity"))
 
 
-def _staged(facts: DataFrame) -> DataFrame:
-    """Writes staged from the commits 6001 to 6400, as if begun at 6000, a day later than what was written."""
-    return facts.where("commit_seq BETWEEN 6001 AND 6400").select(*KEY, (F.col("valid_from") + DAY).alias("valid_from")).distinct()
+def _staged(facts: DataFrame, first: int, last: int) -> DataFrame:
+    """Writes staged from the commits after ``first`` up to ``last``, as if begun at ``first``, a day later than what was written."""
+    return facts.where((F.col("commit_seq") > first) & (F.col("commit_seq") <= last)).select(*KEY, (F.col("valid_from") + DAY).alias("valid_from")).distinct()
 
 
-_CAPTURED = f"""staged AS (SELECT DISTINCT {CHAIN}, valid_from + {DAY} AS valid_from FROM facts WHERE commit_seq BETWEEN 6001 AND 6400),
+_CAPTURED = f"""staged AS (SELECT DISTINCT {CHAIN}, valid_from + {DAY} AS valid_from FROM facts WHERE commit_seq > {_at(S0)} AND commit_seq <= {_at(64)}),
 captured AS (SELECT s.*, max(f.valid_from) FILTER (f.valid_from < s.valid_from) AS predecessor, min(f.valid_from) FILTER (f.valid_from > s.valid_from) AS successor
-  FROM staged s LEFT JOIN facts f ON f.entity_id = s.entity_id AND f.commit_seq <= {S0} GROUP BY ALL)"""
+  FROM staged s LEFT JOIN facts f ON f.entity_id = s.entity_id AND f.commit_seq <= {_at(S0)} GROUP BY ALL)"""
 
 
 @query(
-    f"""WITH {EVENTS}, {_CAPTURED} SELECT c.part_id, c.fact_family, c.property_id, c.entity_id, c.valid_from, CAST({S0} AS BIGINT) AS snapshot_seq, min(f.commit_seq) AS first_conflict, count(*) AS events
-    FROM captured c JOIN facts f ON f.entity_id = c.entity_id AND f.commit_seq > {S0} AND (c.predecessor IS NULL OR f.valid_from >= c.predecessor) AND (c.successor IS NULL OR f.valid_from < c.successor) GROUP BY ALL"""
+    f"""WITH {EVENTS}, {_CAPTURED} SELECT c.part_id, c.fact_family, c.property_id, c.entity_id, c.valid_from, CAST({_at(S0)} AS BIGINT) AS snapshot_seq, min(f.commit_seq) AS first_conflict, count(*) AS events
+    FROM captured c JOIN facts f ON f.entity_id = c.entity_id AND f.commit_seq > {_at(S0)} AND (c.predecessor IS NULL OR f.valid_from >= c.predecessor) AND (c.successor IS NULL OR f.valid_from < c.successor) GROUP BY ALL"""
 )
 def write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = events_as_facts(spark, sf_dir)
-    captured = conflicts.capture(_staged(facts), facts, S0).withColumn("snapshot_seq", F.lit(S0).cast("long"))
+    begun = _seq(spark, sf_dir, S0)
+    captured = conflicts.capture(_staged(facts, begun, _seq(spark, sf_dir, 64)), facts, begun).withColumn("snapshot_seq", F.lit(begun).cast("long"))
     return conflicts.write_conflicts(captured, facts)
 
 
-def _seen_sql(seq: int) -> str:
+def _seen_sql(seq: str) -> str:
     return f"""SELECT {CHAIN}, max(valid_from) FILTER (valid_from <= {T0}) AS observed, arg_max(commit_seq, valid_from) FILTER (valid_from <= {T0}) AS observed_commit, max(valid_from) FILTER (valid_from < {T0}) AS predecessor, min(valid_from) FILTER (valid_from > {T0}) AS successor
       FROM (SELECT *, row_number() OVER (PARTITION BY {CHAIN}, valid_from ORDER BY commit_seq DESC) AS rn FROM facts WHERE commit_seq <= {seq}) WHERE rn = 1 GROUP BY {CHAIN}"""
 
 
 @query(
-    f"""WITH {EVENTS}, reads AS (SELECT DISTINCT {CHAIN} FROM facts), was AS ({_seen_sql(S0)}), now AS ({_seen_sql(S0 + 500)})
+    f"""WITH {EVENTS}, reads AS (SELECT DISTINCT {CHAIN} FROM facts), was AS ({_seen_sql(_at(S0))}), now AS ({_seen_sql(_at(S1))})
     SELECT r.entity_id, n.observed, n.observed_commit, w.observed AS was_observed FROM reads r LEFT JOIN was w ON w.entity_id = r.entity_id LEFT JOIN now n ON n.entity_id = r.entity_id
     WHERE (w.observed, w.observed_commit, w.predecessor, w.successor) IS DISTINCT FROM (n.observed, n.observed_commit, n.predecessor, n.successor)"""
 )
 def strict_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = events_as_facts(spark, sf_dir)
-    reads = conflicts.capture(facts.select(*KEY).distinct().withColumn("valid_time", F.lit(T0)), facts, S0, time="valid_time")
-    return conflicts.strict_conflicts(reads, facts, S0 + 500).select("entity_id", "observed", "observed_commit", "was_observed")
+    reads = conflicts.capture(facts.select(*KEY).distinct().withColumn("valid_time", F.lit(T0)), facts, _seq(spark, sf_dir, S0), time="valid_time")
+    return conflicts.strict_conflicts(reads, facts, _seq(spark, sf_dir, S1)).select("entity_id", "observed", "observed_commit", "was_observed")
 
 
 @query(
-    f"""WITH {EVENTS}, s AS (SELECT DISTINCT commit_seq // 10 AS txn_id, {CHAIN} FROM facts WHERE commit_seq <= 400)
-    SELECT a.txn_id AS txn_a, b.txn_id AS txn_b, count(*) AS shared_chains FROM s a JOIN s b ON a.entity_id = b.entity_id AND a.txn_id < b.txn_id GROUP BY 1, 2"""
+    f"""WITH {EVENTS}, s AS (SELECT DISTINCT (commit_seq - 1) // 10 AS txn_id, {CHAIN} FROM facts), b AS (SELECT *, lag(txn_id) OVER (PARTITION BY {CHAIN} ORDER BY txn_id) AS before FROM s)
+    SELECT txn_id, count(*) AS chains, count(before) AS shared, max(before) AS after FROM b GROUP BY txn_id"""
 )
 def footprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = events_as_facts(spark, sf_dir).where("commit_seq <= 400").withColumn("txn_id", F.expr("commit_seq div 10"))
-    return conflicts.overlapping_transactions(staged)
+    return conflicts.footprints(events_as_facts(spark, sf_dir).withColumn("txn_id", F.expr("(commit_seq - 1) div 10")))
 
 
-_PROPERTIES = [(1, 1, "score", 1, 5), (1, 2, "rating", 1, 5), (2, 1, "label", 1, 7), (7, 1, "price", 2, 5), (7, 2, "price", 2, 5), (7, 3, "amount", 2, 3)]
-_PROPERTIES_SQL = "(VALUES " + ", ".join(f"({p}, CAST({e} AS BIGINT), '{n}', {k}, {t})" for p, e, n, k, t in _PROPERTIES) + ") AS p(property_id, schema_epoch, name, entity_kind, physical_type)"
+@query(
+    f"""WITH {GRAPH} SELECT entity_id AS txn_id, bool_and(operation = 1) AS blind FROM vertex_facts GROUP BY entity_id"""
+)
+def blind_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each vertex id as one transaction; nothing was captured or read."""
+    facts = orders_as_graph(spark, sf_dir).where(F.col("fact_family") == int(Family.VERTEX_STATE))
+    none = F.lit(None).cast("long")
+    return conflicts.blind_appends(facts.select(F.col("entity_id").alias("txn_id"), "fact_family", "operation", none.alias("predecessor"), none.alias("successor"), F.lit(False).alias("strict")))
+
+
+_PROPERTIES_SQL = "properties AS (SELECT p_size AS property_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS schema_epoch, p_brand AS name, CAST(p_partkey % 2 + 1 AS INTEGER) AS entity_kind, CAST(p_partkey % 8 + 1 AS INTEGER) AS physical_type FROM part)"
 
 
-def _properties(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_PROPERTIES, "property_id int, schema_epoch long, name string, entity_kind int, physical_type int")
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a definition of the property of its size; later parts are later epochs."""
+    epoch = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).cast("long")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("property_id"), epoch.alias("schema_epoch"), F.col("p_brand").alias("name"), (F.col("p_partkey") % 2 + 1).cast("int").alias("entity_kind"), (F.col("p_partkey") % 8 + 1).cast("int").alias("physical_type"))
 
 
-@query(f"SELECT property_id, schema_epoch, name, entity_kind, physical_type FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY schema_epoch DESC) AS rn FROM {_PROPERTIES_SQL}) WHERE rn = 1")
+@query(f"WITH {_PROPERTIES_SQL} SELECT property_id, schema_epoch, name, entity_kind, physical_type FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY schema_epoch DESC) AS rn FROM properties) WHERE rn = 1")
 def schema_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = _properties(spark).groupBy("property_id").agg(F.max_by(F.struct("schema_epoch", "name", "entity_kind", "physical_type"), "schema_epoch").alias("p"))
-    return latest.select("property_id", "p.*")
+    return catalogue.latest_properties(_properties(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PROPERTIES_SQL}, asked AS (SELECT o_orderkey AS request, CAST(o_orderkey % 60 + 1 AS INTEGER) AS property_id, nullif(o_orderkey % 12, 0) AS schema_epoch FROM orders),
+    latest AS (SELECT property_id, max(schema_epoch) AS newest FROM properties GROUP BY property_id)
+    SELECT a.request, a.property_id, a.schema_epoch, p.property_id IS NOT NULL AS found, p.name, p.entity_kind, p.physical_type
+    FROM asked a LEFT JOIN latest l ON l.property_id = a.property_id LEFT JOIN properties p ON p.property_id = a.property_id AND p.schema_epoch = coalesce(a.schema_epoch, l.newest)"""
+)
+def property_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions by id and epoch, or of the latest epoch; some aren't there."""
+    key = F.col("o_orderkey")
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("request"), (key % 60 + 1).cast("int").alias("property_id"), F.nullif(key % 12, F.lit(0)).alias("schema_epoch"))
+    return catalogue.lookup_properties(asked, _properties(spark, sf_dir))
 
 
-@query(f"SELECT property_id, schema_epoch, name, entity_kind, physical_type FROM {_PROPERTIES_SQL} WHERE schema_epoch = 1")
-def schema_epoch_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _properties(spark).where("schema_epoch = 1")
+@query(f"WITH {EVENTS} SELECT entity_id, valid_from, commit_seq, row_number() OVER (PARTITION BY {CHAIN} ORDER BY valid_from DESC, commit_seq DESC) AS position FROM facts")
+def canonical_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each event on its chain in canonical order."""
+    order = Window.partitionBy(*KEY).orderBy(*canonical_order()[len(KEY) :])
+    return events_as_facts(spark, sf_dir).select("entity_id", "valid_from", "commit_seq", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(
+    f"""WITH {EVENTS}, l AS (SELECT entity_id, commit_seq, physical_type, float64_value, lag(physical_type) OVER w AS t, lag(float64_value) OVER w AS v FROM facts WINDOW w AS (PARTITION BY {CHAIN} ORDER BY commit_seq))
+    SELECT entity_id, commit_seq, coalesce(physical_type = 5 AND t = 5 AND float64_value = v AND NOT isnan(v), FALSE) AS same FROM l WHERE t IS NOT NULL"""
+)
+def value_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each event of a chain has the value of the one that was committed before it."""
+    value = F.struct("physical_type", *VALUES)
+    before = Window.partitionBy(*KEY).orderBy("commit_seq")
+    rows = events_as_facts(spark, sf_dir).select("entity_id", "commit_seq", value.alias("own"), F.lag(value).over(before).alias("last"))
+    return rows.where("last IS NOT NULL").select("entity_id", "commit_seq", same_value("own", "last").alias("same"))
+
+
+@query("SELECT event_id AS commit_seq, user_id + 1 AS entity_id FROM events WHERE CASE WHEN event_type = 'error' THEN '' ELSE props END <> '' OR props IS NULL AND event_type <> 'error'")
+def non_empty_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_type") == "error", "").otherwise(F.col("props"))
+    facts = conform(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("commit_seq"), (F.col("user_id") + 1).alias("entity_id"), text.cast("binary").alias("bytes_value")))
+    return lookups.without_empty_values(facts).select("commit_seq", "entity_id")
+
+
+@query("SELECT CASE WHEN user_id = 0 THEN 'zero entity id' WHEN event_type <> 'error' AND value IS NULL THEN 'put without one value of its type' WHEN event_type = 'error' AND value IS NOT NULL THEN 'value where none belongs' ELSE 'valid' END AS reason, count(*) AS facts FROM events GROUP BY 1")
+def invalid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why facts aren't valid, if deletions keep their value and ids begin at zero."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    put = F.col("event_type") != "error"
+    facts = conform(events.select(F.lit(2).alias("fact_family"), F.lit(1).alias("property_id"), F.col("user_id").alias("entity_id"), F.lit(1).alias("commit_seq"), F.when(put, 1).otherwise(2).alias("operation"), F.lit(1).alias("schema_epoch"), F.when(put, 5).otherwise(0).alias("physical_type"), F.col("value").alias("float64_value")))
+    return facts.select(F.coalesce(invalid_reason(), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("facts"))
+
+
+@query(f"WITH {EVENTS} {_state_sql(T0, _at(S0)).replace('SELECT * EXCLUDE (rn)', f'SELECT {ROW_SQL}', 1)}")
+def persisted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts written in the library's layout, and the state read from it: partitions and row groups are pruned."""
+    path = f"{scratch_folder(spark)}/facts-{uuid.uuid4().hex}"
+    write_facts(events_as_facts(spark, sf_dir), path, partitions=8)
+    return scan.state_scan(read_facts(spark, path), USERS, _seq(spark, sf_dir, S0), ROW)
 
 
 @query(
@@ -320,11 +394,10 @@ def latency_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(events, ["event_type"], "us", [50, 95, 99])
 
 
-@query("WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST(floor(coalesce(value, 0) * 100) AS BIGINT) AS v FROM events WHERE user_id < 20), r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a FROM (SELECT DISTINCT user_id FROM s) UNION ALL SELECT r.user_id, s.i, CASE WHEN a = 0 THEN v ELSE a - a // 8 + v // 8 END FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, arg_max(a, i) AS average FROM r GROUP BY user_id")
+@query("WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST(floor(coalesce(value, 0) * 100) AS BIGINT) AS v FROM events), r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a FROM (SELECT DISTINCT user_id FROM s) UNION ALL SELECT r.user_id, s.i, CASE WHEN a = 0 THEN v ELSE a - a // 8 + v // 8 END FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, arg_max(a, i) AS average FROM r GROUP BY user_id")
 def ewma_eighth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 20")
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.floor(F.coalesce("value", F.lit(0.0)) * 100).alias("v")))).alias("s"))
-    return rows.select("user_id", moving_average(F.transform("s", lambda x: x["v"])).alias("average"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.floor(F.col("value") * 100).alias("sample"))
+    return moving_averages(events, ["user_id"], "event_id", "sample")
 
 
 @query("SELECT user_id, CAST(sum(18446744073709551615::HUGEINT - event_id) % 18446744073709551616::HUGEINT AS VARCHAR) AS total FROM events GROUP BY user_id")
@@ -368,33 +441,32 @@ def merge_named_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.named_aggregate(rows, ["user_id"], "function", "merged", "event_id")
 
 
-@query(f"WITH {EVENTS}, own AS (SELECT * FROM facts WHERE commit_seq <= {S0} UNION ALL SELECT part_id, fact_family, property_id, entity_id, {T0}, {S0} + 1, 1, schema_epoch, 5, -1.0 FROM (SELECT DISTINCT part_id, fact_family, property_id, entity_id, schema_epoch FROM facts WHERE entity_id % 10 = 0)) {_state_sql(T0, S0 + 1, 'own').replace('SELECT * EXCLUDE (rn)', 'SELECT entity_id, valid_from, float64_value', 1)}")
+@query(f"WITH {EVENTS}, own AS (SELECT * FROM facts WHERE commit_seq <= {_at(S0)} UNION ALL SELECT part_id, fact_family, property_id, entity_id, {T0}, {_at(S0)} + 1, 1, schema_epoch, 5, -1.0 FROM (SELECT DISTINCT part_id, fact_family, property_id, entity_id, schema_epoch FROM facts WHERE operation = 2 AND valid_from > {T0})) {_state_sql(T0, _at(S0) + ' + 1', 'own').replace('SELECT * EXCLUDE (rn)', 'SELECT entity_id, valid_from, float64_value', 1)}")
 def read_your_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged rows over the base, resolved together (an extension)."""
     facts = events_as_facts(spark, sf_dir)
-    staged = facts.where("entity_id % 10 = 0").select(*KEY).distinct().withColumns({"valid_from": F.lit(T0), "commit_seq": F.lit(S0 + 1), "operation": F.lit(1), "schema_epoch": F.lit(1), "physical_type": F.lit(5), "float64_value": F.lit(-1.0)})
-    from factloom.schema import conform
-
-    both = resolve.seen(facts, S0).unionByName(conform(staged))
-    return scan.state_scan(both, USERS, S0 + 1, ["entity_id", "valid_from", "float64_value"])
+    seq = _seq(spark, sf_dir, S0)
+    staged = facts.where((F.col("operation") == 2) & (F.col("valid_from") > T0)).select(*KEY).distinct().withColumns({"valid_from": F.lit(T0), "commit_seq": F.lit(seq + 1), "operation": F.lit(1), "schema_epoch": F.lit(1), "physical_type": F.lit(5), "float64_value": F.lit(-1.0)})
+    both = resolve.seen(facts, seq).unionByName(conform(staged))
+    return scan.state_scan(both, USERS, seq + 1, ["entity_id", "valid_from", "float64_value"])
 
 
-@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE commit_seq % 97 = 5")
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE operation = 2")
 def exact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of full keys that are taken from the history, with keys that aren't there among them."""
     facts = events_as_facts(spark, sf_dir)
-    keys = facts.where("commit_seq % 97 = 5").select(*lookups.EXACT)
+    keys = facts.where("operation = 2").select(*lookups.EXACT)
     return lookups.exact_facts(facts, keys.unionByName(keys.withColumn("valid_from", F.col("valid_from") + 1))).select(*ROW)
 
 
-@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE (entity_id BETWEEN 3 AND 9 OR entity_id BETWEEN 50 AND 55 OR entity_id BETWEEN 120 AND 140) AND commit_seq <= {S0}")
+@query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE (entity_id BETWEEN 3 AND 9 OR entity_id BETWEEN 50 AND 55 OR entity_id BETWEEN 120 AND 140) AND commit_seq <= {_at(S0)}")
 def multi_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.multi_range_scan(events_as_facts(spark, sf_dir), USERS, [(3, 9), (50, 55), (120, 140)], S0).select(*ROW)
+    return lookups.multi_range_scan(events_as_facts(spark, sf_dir), USERS, [(3, 9), (50, 55), (120, 140)], _seq(spark, sf_dir, S0)).select(*ROW)
 
 
-@query(f"WITH {EVENTS} SELECT part_id, entity_id FROM ({_state_sql(T0, S0)}) WHERE float64_value BETWEEN 20 AND 60")
+@query(f"WITH {EVENTS} SELECT part_id, entity_id FROM ({_state_sql(T0, _at(S0))}) WHERE float64_value BETWEEN 20 AND 60")
 def entities_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.entities_by_value(scan.state_scan(events_as_facts(spark, sf_dir), USERS, S0), "float64_value", 20, 60)
+    return lookups.entities_by_value(scan.state_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, S0)), "float64_value", 20, 60)
 
 
 @query(f"WITH {EVENTS} SELECT {ROW_SQL} FROM facts WHERE valid_from > {T0 - 2 * DAY}")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.errors import InvalidArgument
 from factloom.schema import FACTS, canonical_order, conform
 
 
@@ -17,6 +20,16 @@ def write_facts(facts: DataFrame, path: str, partitions: int | None = None, code
     writer.partitionBy("fact_family", "property_id").parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where tables can be written that all executors read: ``spark.checkpoint.dir``; without it a temporary folder, on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise InvalidArgument("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="factloom-")
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """The fact table under ``path``."""
     return conform(spark.read.schema(FACTS).parquet(path))

@@ -6,12 +6,8 @@ commit number, a column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from factloom.schema import FACTS, KEY, conform, validated
@@ -31,27 +27,12 @@ def append_stream(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_LATEST = "valid_from long, commit_seq long, operation int, float64_value double"
-
-
-def _keep_latest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    changed = False
-    for part in parts:
-        for row in zip(part["valid_from"], part["commit_seq"], part["operation"], part["float64_value"]):
-            if best is None or row[:2] > tuple(best[:2]):
-                best, changed = row, True
-    if changed:
-        best = (int(best[0]), int(best[1]), int(best[2]), None if best[3] is None or best[3] != best[3] else float(best[3]))
-        state.update(best)
-        yield pd.DataFrame([[*key, *best]], columns=[*KEY, "valid_from", "commit_seq", "operation", "float64_value"])
-
-
 def latest_state(facts: DataFrame) -> DataFrame:
-    """A stream of changes: whenever a chain's last event (by valid time, then commit) is another one, that event."""
-    out = f"part_id long, fact_family int, property_id int, entity_id long, {_LATEST}"
-    rows = facts.select(*KEY, "valid_from", "commit_seq", "operation", "float64_value")
-    return rows.groupBy(*KEY).applyInPandasWithState(_keep_latest, out, _LATEST, "update", GroupStateTimeout.NoTimeout)
+    """A stream of changes: of each chain that new facts arrive for its last event by valid time, then commit, with all of its
+    columns. The state is one event for each chain; deletions stay in it, so that late facts don't bring a chain back."""
+    rest = [c for c in facts.columns if c not in KEY]
+    last = facts.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct("valid_from", "commit_seq")).alias("_w"))
+    return last.select(*KEY, "_w.*")
 
 
 def since(facts: DataFrame, commit_seq: int) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from factloom.functions.latency import moving_average, percentiles
+from factloom.functions.latency import moving_average, moving_averages, percentiles
 from factloom.functions.values import same_value, typed_view, value_text
 from factloom.operators import conflicts, merges
 from factloom.schema import KEY, Family, ValueType
@@ -38,6 +40,18 @@ def test_moving_average(spark):
     assert got == 80 - 10 + 20 - (80 - 10 + 20) // 8 + 1
 
 
+def test_moving_averages_equal_those_of_arrays(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice([None, 0, rng.randrange(10**6)])) for k in range(7) for i in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "k int, i int, v long").repartition(3)
+    wanted = {}
+    for k, _, v in sorted(rows, key=lambda r: r[:2]):
+        old, v = wanted.get(k, 0), v or 0
+        wanted[k] = v if old == 0 else old - old // 8 + v // 8
+    assert {r.k: r.average for r in moving_averages(df, ["k"], "i", "v").collect()} == wanted
+    assert moving_averages(df.limit(0), ["k"], "i", "v").count() == 0
+
+
 def test_merges(spark):
     df = spark.createDataFrame([(1, 2**62, "b", b"\x01\x02", "3,1"), (2, 2**62, "a", b"\xff", "2"), (3, 2**62, None, b"", ""), (4, 2**62, "c", None, None)], "seq int, n long, s string, x binary, l string")
     r = df.groupBy().agg(merges.add_uint64("n").alias("n"), merges.last_put("s", "seq").alias("p"), merges.append_strings("s", "seq").alias("a"), merges.max_bytes("s").cast("string").alias("m"), merges.sort_lists("l").alias("l")).first()
@@ -45,11 +59,39 @@ def test_merges(spark):
     assert bytes(merges.xor_bytes(df.withColumn("k", F.lit(1)), ["k"], "x").first().x) == b"\xfe\x02"
     named = df.select(F.lit(1).alias("k"), F.lit("max").alias("f"), "n", "seq")
     assert merges.named_aggregate(named, ["k"], "f", "n", "seq").first().n == 2**62
+    own = {"double": lambda v, s: 2 * F.max_by(v, s)}
+    assert merges.named_aggregate(df.select("seq", F.lit("double").alias("f"), (F.col("n") / 2**60).cast("long").alias("n")), ["f"], "f", "n", "seq", own).first().n == 8
+    assert merges.named_aggregate(named.withColumn("f", F.lit("none of them")), ["k"], "f", "n", "seq").first().n is None
+
+
+def test_bytes_xor_of_any_length(spark):
+    rng = random.Random(2)
+    rows = [(k, bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 30])))) for k in range(6) for _ in range(8)] + [(9, None)]
+    wanted = {}
+    for k, x in rows:
+        if x is not None:
+            a = wanted.get(k, b"")
+            n = max(len(a), len(x))
+            wanted[k] = bytes(p ^ q for p, q in zip(a.ljust(n, b"\0"), x.ljust(n, b"\0")))
+    got = {r.k: None if r.x is None else bytes(r.x) for r in merges.xor_bytes(spark.createDataFrame(rows, "k int, x binary"), ["k"], "x").collect()}
+    assert {k: got[k] for k in wanted} == wanted and not got[9]
 
 
 def test_groups_and_blind_appends(spark):
     rows = [(1, 0, 1, 0, 5), (2, 0, 1, 0, 5), (3, 0, 1, 0, 6)]
     staged = spark.createDataFrame(rows, ["txn_id", *KEY])
-    assert [(r.txn_a, r.txn_b) for r in conflicts.overlapping_transactions(staged).collect()] == [(1, 2)]
+    assert [tuple(r) for r in conflicts.footprints(staged).orderBy("txn_id").collect()] == [(1, 1, 0, None), (2, 1, 1, 1), (3, 1, 0, None)]
+    rng = random.Random(3)
+    rows = [(rng.randrange(200), 0, 1, 0, rng.choice([1, 1, 1, rng.randrange(30)])) for _ in range(400)]
+    chains: dict = {}
+    for txn, *key in sorted(set(rows)):
+        chains.setdefault(tuple(key), []).append(txn)
+    wanted: dict = {}
+    for txns in chains.values():
+        for before, txn in zip([None, *txns], txns):
+            n, shared, after = wanted.get(txn, (0, 0, None))
+            wanted[txn] = (n + 1, shared + (before is not None), max((x for x in (after, before) if x is not None), default=None))
+    got = {r.txn_id: (r.chains, r.shared, r.after) for r in conflicts.footprints(spark.createDataFrame(rows, ["txn_id", *KEY])).collect()}
+    assert got == wanted
     kinds = spark.createDataFrame([(1, 1, 1, None, None, False), (2, 1, 2, None, None, False), (3, 1, 1, 5, None, False)], "txn_id int, fact_family int, operation int, predecessor long, successor long, strict boolean")
     assert {r.txn_id: r.blind for r in conflicts.blind_appends(kinds).collect()} == {1: True, 2: False, 3: False}

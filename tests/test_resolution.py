@@ -1,11 +1,12 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from factloom import errors
-from factloom.operators import graph, resolve, retention, scan
+from factloom.operators import conflicts, graph, resolve, retention, scan
 from factloom.schema import Family, conform, invalid_reason, validated
 
 from .histories import event, frame, neighbours, resolved
@@ -62,6 +63,7 @@ def test_batches_stop_early(spark):
     facts = frame(spark, [event(1, i + 1, entity=i + 1) for i in range(10)])
     rows = scan.event_scan(facts, scan.ScanSpec(Family.VERTEX_STATE))
     assert [b.num_rows for b in scan.in_batches(rows, 4)] == [4, 4, 2]
+    assert len({b.schema for b in scan.in_batches(rows, 1)}) == 1  # also of batches in which a column is null
     seen = []
     assert not scan.visit(rows, lambda b: seen.append(b) or False, 4)
     assert len(seen) == 1
@@ -161,3 +163,47 @@ def test_entity_ranges_reach_the_scan_and_values_stay_above(spark, tmp_path):
     plan = scan.state_scan(stored, spec)._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters")[-1].split("ReadSchema")[0]
     assert "entity_id,10" in pushed and "valid_from,2" not in pushed and "fact_family" in plan.split("PartitionFilters")[-1].split("PushedFilters")[0]
+
+
+def test_captured_neighbours_and_conflicts_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [event(rng.randrange(40), c, rng.choice("PPD"), entity=rng.choice([1, 1, 1, 2, 3])) for c in range(1, 121)]
+    facts = frame(spark, rows).repartition(3)
+    writes = sorted({(rng.choice([1, 2, 3, 4]), rng.randrange(-1, 42), rng.choice([50, 80])) for _ in range(60)})
+    key = ["CAST(0 AS BIGINT) AS part_id", "1 AS fact_family", "0 AS property_id", "entity_id"]
+    found = None
+    for base in (50, 80):
+        mine = spark.createDataFrame([w for w in writes if w[2] == base], "entity_id long, valid_from long, snapshot_seq long").selectExpr(*key, "valid_from", "snapshot_seq")
+        part = conflicts.capture(mine, facts, base)
+        found = part if found is None else found.unionByName(part)
+    seen = {(r.entity_id, r.valid_from, r.snapshot_seq): r for r in found.collect()}
+    assert set(seen) == set(writes)
+    wanted = {}
+    for w, r in seen.items():
+        entity, t, base = w
+        chain = [x for x in rows if x["entity_id"] == entity]
+        assert (r.observed, r.predecessor, r.successor) == neighbours(chain, t, base)
+        last = max(((x["valid_from"], x["commit_seq"]) for x in chain if x["valid_from"] <= t and x["commit_seq"] <= base), default=(None, None))
+        assert (r.observed, r.observed_commit) == last
+        hit = [x["commit_seq"] for x in chain if x["commit_seq"] > base and (r.predecessor is None or x["valid_from"] >= r.predecessor) and (r.successor is None or x["valid_from"] < r.successor)]
+        if hit:
+            wanted[w] = (min(hit), len(hit))
+    got = {(r.entity_id, r.valid_from, r.snapshot_seq): (r.first_conflict, r.events) for r in conflicts.write_conflicts(found, facts).collect()}
+    assert got == wanted
+
+
+def test_one_edge_is_looked_up_by_its_own_chains(spark, tmp_path):
+    from factloom.sources.database import Database
+    from factloom.schema import Family
+
+    db = Database(spark, str(tmp_path / "db"))
+    t = db.begin()
+    for v in (1, 2, 3):
+        t.assert_vertex(0, v, 10)
+    t.assert_edge(0, 9, 10, (0, 1, 0, 2, 7))
+    t.commit()
+    with db.snapshot() as s:
+        assert s.exists(Family.EDGE_STATE, 0, 9, 10) and not s.exists(Family.EDGE_STATE, 0, 9, 5) and not s.exists(Family.EDGE_STATE, 0, 8, 10)
+        requests = spark.createDataFrame([(1, 0, 4, 9), (2, 0, 1, 3), (3, 0, 1, 4), (4, 0, 4, 9)], "pos int, part_id long, fact_family int, entity_id long")
+        assert [r.exists for r in s.multi_exists(requests, 10).orderBy("pos").collect()] == [True, True, False, True]
+    db.close()
