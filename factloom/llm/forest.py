@@ -8,16 +8,15 @@ their components are gathered, dealt in bounded blocks, and every pair of texts
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_rows, materialize, shuffle_partitions, whole_text
+from factloom.llm.common import materialize, shuffle_partitions, whole_text
 from factloom.llm.graph import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +88,7 @@ def _labels(width: int, trees: int, length: int) -> Callable[[Iterator[pa.Record
             shingles, counts = shingle_hashes(*_flat(b.column("words")), width)
             labels = label_hashes(shingles, counts, trees, length).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels.ravel()))], names=["doc_id", "t1", "t2", "labels"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels.ravel()))], names=["doc_id", "t", "n", "labels"])
 
     return run
 
@@ -134,12 +133,26 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [find(x) for x in range(n)]
 
 
-def _compared(rows: list[tuple[int, int, int, np.ndarray]], i: int, j: int, similarity: float) -> tuple[list[int], list[int], list[int]]:
-    """Of one block pair: the texts' ids, links (copies counted) and roots. A row: id, block, copies, set."""
+@dataclass(frozen=True)
+class _Group:
+    """Texts that are compared together: a block pair (i, j) of a component (tree -1), or of a node of a tree."""
+
+    of: int
+    tree: int
+    i: int
+    j: int
+    whole: bool
+
+
+def _compared(group: _Group, rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], similarity: float) -> tuple[list[int], list[int], list[int]]:
+    """Of one group: the texts' numbers, links (copies counted) and roots. A row: number, block, copies, set, labels.
+
+    In a group of a tree only those pairs count that share no node of an earlier tree, so each counts once.
+    """
     rows.sort(key=lambda r: r[0])
     ids, mult = [r[0] for r in rows], np.array([r[2] for r in rows])
-    left = [k for k, r in enumerate(rows) if r[1] == i]
-    right = left if i == j else [k for k, r in enumerate(rows) if r[1] == j]
+    left = [k for k, r in enumerate(rows) if r[1] == group.i]
+    right = left if group.i == group.j else [k for k, r in enumerate(rows) if r[1] == group.j]
     links, a, b = np.zeros(len(rows), np.int64), [], []
     if left and right:
         sizes = np.array([len(r[3]) for r in rows], np.float64)
@@ -147,9 +160,12 @@ def _compared(rows: list[tuple[int, int, int, np.ndarray]], i: int, j: int, simi
             part = left[begin : begin + 512]
             common = _overlaps([rows[k][3] for k in part], [rows[k][3] for k in right]).astype(np.float64)
             close = common >= similarity * (sizes[part][:, None] + sizes[right][None, :] - common) - 1e-9
-            x, y = np.nonzero(close & (common > 0))
+            close &= common > 0
+            for t in range(group.tree):
+                close &= np.array([rows[k][4][t] for k in part])[:, None] != np.array([rows[k][4][t] for k in right])[None, :]
+            x, y = np.nonzero(close)
             x, y = np.array(part)[x], np.array(right)[y]
-            if i == j:
+            if group.i == group.j:
                 x, y = x[x < y], y[x < y]
             np.add.at(links, x, mult[y])
             np.add.at(links, y, mult[x])
@@ -160,20 +176,20 @@ def _compared(rows: list[tuple[int, int, int, np.ndarray]], i: int, j: int, simi
 
 
 def _verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by (comp, i, j): one group of a bounded number of texts after the other."""
+    """Rows come sorted by group: one group of a bounded number of texts and words after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        group, held = None, []
         out: tuple[list, list, list, list] = ([], [], [], [])
 
         def close() -> None:
             if held:
-                ids, links, roots = _compared(held, key[1], key[2], similarity)
-                for column, values in zip(out, (ids, links, roots, [key[3]] * len(ids))):
+                numbers, links, roots = _compared(group, held, similarity)
+                for column, values in zip(out, (numbers, links, roots, [group.whole] * len(numbers))):
                     column.extend(values)
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.bool_())], names=["rep", "links", "root", "whole"])
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.bool_())], names=["no", "links", "root", "whole"])
             for c in out:
                 c.clear()
             return made
@@ -181,12 +197,14 @@ def _verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
         for b in batches:
             shingles, counts = shingle_hashes(*_flat(b.column("words")), width)
             ends = np.cumsum(counts)
-            cols = [b.column(c).to_pylist() for c in ("comp", "i", "j", "whole", "rep", "block", "mult")]
-            for k, (comp, i, j, whole, rep, block, mult) in enumerate(zip(*cols)):
-                if (comp, i, j, whole) != key:
+            labels, per_text = _flat(b.column("labels"))
+            to = np.cumsum(per_text)
+            cols = [b.column(c).to_pylist() for c in ("of", "tree", "i", "j", "whole", "no", "block", "mult")]
+            for k, (of, tree, i, j, whole, no, block, mult) in enumerate(zip(*cols)):
+                if group is None or (of, tree, i, j) != (group.of, group.tree, group.i, group.j):
                     close()
-                    key, held = (comp, i, j, whole), []
-                held.append((rep, block, mult, np.unique(shingles[ends[k] - counts[k] : ends[k]])))
+                    group, held = _Group(of, tree, i, j, whole), []
+                held.append((no, block, mult, np.unique(shingles[ends[k] - counts[k] : ends[k]]), labels[to[k] - per_text[k] : to[k]].copy()))
             if len(out[0]) > 10_000:
                 yield batch()
         close()
@@ -195,42 +213,79 @@ def _verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, trees: int = 24, longest: int = 8, block: int = 512) -> DataFrame:
-    """doc_id, class_id, n_links of each row of ``docs`` (doc_id, text; other columns are ignored).
+def _blocks(texts: Column, words: Column, block: int, block_words: int) -> Column:
+    return F.greatest(F.ceil(texts / block), F.ceil(words / block_words), F.lit(1)).cast("int")
+
 
-    A link joins two documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more;
-    equal texts are always linked. class_id is the least id of the documents joined by links, n_links counts the others that
-    a document is linked to, copies included. A text of fewer words is one shingle; null or white text has none, and links to
-    equal texts only. Rows without an id are left out; repeated rows count as copies and come out as often as they went in.
+def _groups(met: DataFrame, members: DataFrame, block: int, block_words: int, most_blocks: int) -> DataFrame:
+    """of, tree, blocks, whole, no: in which groups each text is compared.
+
+    A component of up to ``most_blocks`` blocks is one group, dealt in block pairs. A larger one - a chain of texts of which
+    most share nothing - is taken apart into the nodes of its trees, so that only texts that meet are compared.
+    ``met``: no, tree, node; ``members``: root, no, words.
     """
+    sizes = members.groupBy("root").agg(F.count("*").alias("texts"), F.sum("words").alias("words"))
+    sizes = sizes.select("root", _blocks(F.col("texts"), F.col("words"), block, block_words).alias("blocks"))
+    sized = members.join(sizes, "root")
+    small = sized.where(F.col("blocks") <= most_blocks).select(F.col("root").alias("of"), F.lit(-1).alias("tree"), "blocks", (F.col("blocks") == 1).alias("whole"), "no")
+    large = met.join(sized.where(F.col("blocks") > most_blocks).select("no", "words"), "no")
+    nodes = large.groupBy("tree", "node").agg(F.count("*").alias("texts"), F.sum("words").alias("words")).where("texts > 1")
+    nodes = nodes.select("tree", "node", _blocks(F.col("texts"), F.col("words"), block, block_words).alias("blocks"))
+    return small.unionByName(large.join(nodes, ["tree", "node"]).select(F.col("node").alias("of"), "tree", "blocks", F.lit(False).alias("whole"), "no"))
+
+
+def text_key(text: Column) -> Column:
+    """What tells different texts apart: their SHA-256; null counts as empty."""
+    return F.unhex(F.sha2(whole_text(text), 256))
+
+
+def _joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, trees: int = 24, longest: int = 8, block: int = 512, block_words: int = 400_000, most_blocks: int = 24) -> tuple[DataFrame, DataFrame]:
+    """doc_id and t, the text's key, of each row with an id; and t, rep, mult, links, root of each different text."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     length = prefix_length(similarity, recall, trees, longest)
     text = whole_text()
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), word_hashes(text).alias("words"))
-    labelled = materialize(rows.mapInArrow(_labels(width, trees, length), "doc_id long, t1 long, t2 long, labels array<long>"))
-    texts = labelled.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    texts = materialize(texts)
-    # One row of labels for each text: its first document's.
-    own = labelled.join(texts, ["t1", "t2"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
-    met = own.select("rep", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", "label"))
-    nodes = met.groupBy("node").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = met.join(nodes, "node").where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    roots = materialize(components(pairs))
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    members = roots.join(sizes, "root").select(F.col("root").alias("comp"), F.col("node").alias("rep"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    wanted = members.join(texts.select("rep", "mult"), "rep")
-    words = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), text.alias("text"))
-    gathered = words.join(wanted, "rep").dropDuplicates(["rep"])
-    dealt = gathered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("blocks") == 1).alias("whole"), "rep", "block", "mult", word_hashes(F.col("text")).alias("words"))
-    dealt = dealt.repartition(shuffle_partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = materialize(dealt.mapInArrow(_verify(width, similarity), "rep long, links long, root long, whole boolean"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    far = components(found.where("NOT whole").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    far = far.join(far.groupBy("root").agg(F.min("node").alias("class")), "root").select(F.col("node").alias("rep"), "class")
-    near = found.where("whole").select("rep", F.col("root").alias("class"))
-    classes = links.join(near.unionByName(far), "rep", "left")
-    per_text = texts.join(classes, "rep", "left")
-    out = labelled.select("doc_id", "t1", "t2").join(per_text, ["t1", "t2"])
-    return out.select("doc_id", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("t"), text.alias("text"))
+    labelled = materialize(rows.select("doc_id", "t", word_hashes(F.col("text")).alias("words")).mapInArrow(_labels(width, trees, length), "doc_id long, t binary, n long, labels array<long>"))
+    # One row for each different text, with a number of its own: ids can be shared.
+    texts = materialize(labelled.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.any_value("n").alias("n"), F.any_value("labels").alias("labels")).withColumn("no", F.monotonically_increasing_id()))
+    met = texts.select("no", F.posexplode("labels").alias("tree", "label")).select("no", "tree", F.xxhash64("tree", "label").alias("node"))
+    nodes = met.groupBy("node").agg(F.min("no").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = met.join(nodes, "node").where(F.col("no") != F.col("head")).select(F.col("no").alias("a"), F.col("head").alias("b"))
+    roots = components(pairs)
+    members = roots.join(texts.select(F.col("no").alias("node"), F.col("n").alias("words")), "node").select("root", F.col("node").alias("no"), "words")
+    groups = materialize(_groups(met, members, block, block_words, most_blocks))
+    # The words of those texts that are compared, read once for each text: from its row of the least id.
+    wanted = texts.select("t", "rep", "no", "mult", "labels").join(roots.select(F.col("node").alias("no")), "no")
+    words = rows.withColumnRenamed("doc_id", "rep").join(wanted, ["t", "rep"]).dropDuplicates(["no"]).select("no", "mult", "labels", word_hashes(F.col("text")).alias("words"))
+    block_of = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")
+    dealt = groups.withColumn("block", block_of).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("of", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "whole", "no", "block")
+    dealt = dealt.join(words, "no").repartition(shuffle_partitions(spark), "of", "tree", "i", "j").sortWithinPartitions("of", "tree", "i", "j")
+    found = materialize(dealt.mapInArrow(_verify(width, similarity), "no long, links long, root long, whole boolean"))
+    links = found.groupBy("no").agg(F.sum("links").alias("links"))
+    far = components(found.where("NOT whole").select(F.col("no").alias("a"), F.col("root").alias("b")))
+    near = found.where("whole").select("no", "root")
+    roots = links.join(near.unionByName(far.select(F.col("node").alias("no"), "root")), "no", "left")
+    joined = texts.select("t", "no", "rep", "mult").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
+    return labelled.select("doc_id", "t"), joined
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, class_id, n_links of each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    A link joins two rows whose sets of ``width``-word shingles (5) have a Jaccard similarity of ``similarity`` (0.8) or more; equal
+    texts are always linked. class_id is the least id of the rows joined by links, n_links counts the others that a row is
+    linked to, copies included. A text of fewer words is one shingle; null or white text has none, and links to equal texts
+    only. Rows without an id are left out; repeated rows count as copies and come out as often as they went in. Different
+    texts under one id are rows of their own, each with its class and links. An empty table gives no rows.
+    """
+    rows, joined = _joined(docs, **settings)
+    classes = joined.groupBy("root").agg(F.min("rep").alias("class_id"))
+    per_text = joined.join(classes, "root").select("t", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    return rows.join(per_text, "t").select("doc_id", "class_id", "n_links")
+
+
+def class_heads(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, t: the row of the least id of each class of near_duplicates(), with the key of its text."""
+    _, joined = _joined(docs, **settings)
+    return joined.groupBy("root").agg(F.min(F.struct("rep", "t")).alias("head")).select(F.col("head.rep").alias("doc_id"), "head.t")
