@@ -1,6 +1,6 @@
 """Homomorphic multiset hash of documents.
 
-A paragraph hashes to a wide vector: four lanes of its own hash, and 64 lanes that each add one bit of the hash of every
+A paragraph hashes to a wide vector: four lanes of its own SHA-256, 56 bits each, and 64 lanes that each add one bit of the hash of every
 shingle of the paragraph, up to three words. A document's fingerprint is the sum of its paragraphs' vectors modulo
 powers of two. So the order of paragraphs doesn't matter, a paragraph is inserted or deleted by adding or subtracting its
 vector, and equal multisets of paragraphs have equal fingerprints. The bit lanes are random signs: their products
@@ -21,10 +21,13 @@ WIDE, PARTS = 2**56, 4  # of the lanes of whole paragraphs
 LANES, MODULUS = 64, 2**24  # of the lanes of shingles' bits; the count of shingles has as much room
 
 
-def paragraph_lane(text: Column, i: int) -> Column:
-    """Lane i of PARTS: the sum of the hashes of a text's paragraphs modulo WIDE."""
-    add = lambda s, x: F.pmod(s + F.pmod(F.xxhash64(x, F.lit(i)), F.lit(WIDE)), F.lit(WIDE))
-    return F.aggregate(F.split(text, "\n"), F.lit(0).cast("long"), add)
+def paragraph_lanes(text: Column) -> Column:
+    """The first PARTS lanes: sums of slices of the SHA-256 of a text's paragraphs modulo WIDE, which don't follow from each other."""
+    def add(sums: Column, x: Column) -> Column:
+        digest = F.sha2(x, 256)
+        return F.array(*(F.pmod(sums[i] + F.conv(F.substring(digest, 14 * i + 1, 14), 16, 10).cast("long"), F.lit(WIDE)) for i in range(PARTS)))
+
+    return F.aggregate(F.split(text, "\n"), F.array(*(F.lit(0).cast("long") for _ in range(PARTS))), add)
 
 
 def shingles(text: Column, words: int = 3) -> Column:
@@ -77,7 +80,7 @@ def written(fingerprint: Column) -> Column:
 def summed(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``print``, the fingerprint of each row's ``text`` as an array; the keys tell rows apart."""
     wide = [f"_p{i}" for i in range(PARTS)]
-    rows = texts.select(*keys, "text", *(paragraph_lane(F.col("text"), i).alias(w) for i, w in enumerate(wide)))
+    rows = texts.select(*keys, "text", paragraph_lanes(F.col("text")).alias("_p")).select(*keys, "text", *(F.get("_p", F.lit(i)).alias(w) for i, w in enumerate(wide)))
     units = rows.select(*keys, *wide, F.explode_outer(shingles(F.col("text"))).alias("_u"))
     hashed = units.select(*keys, *wide, F.xxhash64("_u.w0", "_u.w1", "_u.w2").alias("_h"))
     sums = hashed.groupBy(*keys).agg(*(F.max(w).alias(w) for w in wide), *lane_sums("_h"))  # numbers only: a hash aggregate
