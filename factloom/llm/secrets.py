@@ -1,13 +1,17 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over unlabelled tokens.
 
 Everything is SQL expressions. A pass over the texts finds the pattern spans and, in every text, the long tokens of
-encoding characters. Each token gets its encoding (the smallest alphabet that holds it), and three tests of the
-hypothesis that it was drawn evenly and independently from that alphabet: chi-squared of the symbol counts, runs above
-and below the alphabet's middle, and the serial correlation of neighbours. A token is called random unless one of them
-rejects it. Against the opposite hypothesis - it is a word, a name or a path - stands the number of times that
-neighbours change between lower case, upper case, digits and signs: a bound on the binomial tail gives a p-value that
-depends on the token's length. Benjamini and Hochberg's rule, within bands of length, holds the share of false
-discoveries among all tokens of the table; it reads a histogram of p-values, of a fixed number of bins.
+encoding characters. Each token gets its encoding (the smallest alphabet that holds it) and three statistics of it:
+chi-squared of the symbol counts, runs of symbols on the same side (digits and letters, or upper and lower case; halves of
+the alphabet where there is one class), and the serial correlation of neighbours.
+
+Each statistic has two distributions. If the token was drawn evenly and independently from its alphabet, all three are about
+normal; a token is not called random if one of them rejects that. If it is written - words, names, paths - symbols coincide
+as often as letters of a language do, neighbours seldom change sides and go together: against this the same three statistics
+give p-values, which depend on the token's length by themselves, and the least of them times three is the token's p-value.
+Benjamini and Hochberg's rule, within bands of length, holds the share of false discoveries among all tokens of the table;
+it reads a histogram of p-values, of a fixed number of bins. A token of letters of one case can hardly be told from a word
+by these tests unless it is very long.
 """
 
 from __future__ import annotations
@@ -23,16 +27,23 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Of an encoding: its pattern, its alphabet in order.
+_SMALL, _LARGE, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Of an encoding: its pattern, its alphabet in order, and the symbols of one side for the runs test. The smallest come first.
 ENCODINGS = (
-    (r"^[0-9]+$", "0123456789"),
-    (r"^[0-9a-f]+$", "0123456789abcdef"),
-    (r"^[0-9A-F]+$", "0123456789ABCDEF"),
-    (r"^[A-Z2-7]+=*$", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    (r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    (r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    (r"", "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"),
+    (r"^[0-9]+$", _DIGITS, _DIGITS[:5]),
+    (r"^[0-9a-f]+$", _DIGITS + _SMALL[:6], _DIGITS),
+    (r"^[0-9A-F]+$", _DIGITS + _LARGE[:6], _DIGITS),
+    (r"^[a-z]+$", _SMALL, _SMALL[:13]),
+    (r"^[A-Z2-7]+=*$", _DIGITS[2:8] + _LARGE, _DIGITS[2:8]),
+    (r"^[a-z0-9]+$", _DIGITS + _SMALL, _DIGITS),
+    (r"^[A-Za-z]+$", _LARGE + _SMALL, _LARGE),
+    (r"^[A-Za-z0-9]+$", _DIGITS + _LARGE + _SMALL, _DIGITS + _LARGE),
+    (r"", "+-/" + _DIGITS + "=" + _LARGE + "_" + _SMALL, "+-/" + _DIGITS + "=" + _LARGE + "_"),
 )
+#: In which of them neighbours of a written text seldom change sides.
+SIDED = tuple(side not in (_DIGITS[:5], _SMALL[:13]) for _, _, side in ENCODINGS)
+#: Of written text: how often two letters coincide and three do beyond that, and how often neighbours change sides.
+COINCIDE, CLUSTER, CHANGE = 0.065, 0.001, 0.08
 BANDS, BINS = (24, 32, 48, 80, 160), 400
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -58,39 +69,63 @@ def normal_tail(z: Column) -> Column:
     return 2 / (1 + F.exp(0.07056 * x * x * x + 1.5976 * x))
 
 
+def lower_tail(z: Column) -> Column:
+    """A bound on -ln P(N <= z): zero for z of zero or more."""
+    return F.when(z < 0, z * z / 2 + 0.6931).otherwise(0.0)
+
+
+def drift(alphabet: str) -> float:
+    """Mean product of neighbours' offsets from the alphabet's middle, by its variance, if all symbols are lower case."""
+    small = [i for i, c in enumerate(alphabet, 1) if c.islower()]
+    k = len(alphabet)
+    offset = sum(small) / len(small) - (k + 1) / 2 if small and len(small) < k else 0.0
+    return offset * offset / ((k * k - 1) / 12)
+
+
 def battery(token: Column) -> Column:
-    """Of a token: its encoding, the least of the three p-values of randomness, and the bin of its p-value as a word.
+    """Of a token: its encoding, p_random, the least of the p-values of its three statistics if it is random, and p_bin, the bin
+    of its p-value if it is written, which the same three statistics give.
 
-    A bin is a fiftieth of a power of ten, rounded down, so a p-value counts as no less than it is.
+    A bin is a tenth of a power of ten; it is rounded down, so a p-value counts as no less than it is.
     """
     body = F.regexp_replace(token, "=+$", "")
     encoding = F.lit(len(ENCODINGS) - 1)
-    for i, (pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+    for i, (pattern, _, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
         encoding = F.when(token.rlike(pattern), i).otherwise(encoding)
-    alphabet = F.element_at(F.array(*(F.lit(a) for _, a in ENCODINGS)), encoding + 1)
+    of = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), encoding + 1)
+    alphabet = of([a for _, a, _ in ENCODINGS])
     chars = F.filter(F.split(body, ""), lambda c: c != "")
     n, k = F.size(chars).cast("double"), F.length(alphabet).cast("double")
+    # Chi-squared, and the number of pairs that coincide, of which it is a linear function.
     squares = F.aggregate(chars, F.lit(0.0), lambda s, c: s + (n - F.length(F.replace(body, c, F.lit("")))))
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    chi_z = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    often = of([max(COINCIDE, 2 / len(a)) for _, a, _ in ENCODINGS])
+    expected = n * (n - 1) / 2 * often
+    spread = expected * (1 - often) + n * (n - 1) * (n - 2) * CLUSTER
+    written_chi = lower_tail(((squares - n) / 2 - expected) / F.sqrt(spread))
+    # Runs, one more than the changes of side.
     codes = F.transform(chars, lambda c: F.position(c, alphabet).cast("double"))
     centre = (k + 1) / 2
-    high = F.aggregate(codes, F.lit(0.0), lambda s, c: s + F.when(c > centre, 1.0).otherwise(0.0))
+    side = F.transform(chars, lambda c: F.position(c, of([x for _, _, x in ENCODINGS])) > 0)
+    high = F.aggregate(side, F.lit(0.0), lambda s, x: s + F.when(x, 0.0).otherwise(1.0))
     pairs = F.arrays_zip(F.slice(codes, 1, F.size(chars) - 1).alias("a"), F.slice(codes, 2, F.size(chars) - 1).alias("b"))
-    runs = F.aggregate(pairs, F.lit(1.0), lambda s, p: s + F.when((p["a"] > centre) != (p["b"] > centre), 1.0).otherwise(0.0))
+    sides = F.arrays_zip(F.slice(side, 1, F.size(chars) - 1).alias("a"), F.slice(side, 2, F.size(chars) - 1).alias("b"))
+    runs = F.aggregate(sides, F.lit(1.0), lambda s, p: s + F.when(p["a"] != p["b"], 1.0).otherwise(0.0))
     low = n - high
     runs_mean = 2 * high * low / n + 1
     runs_var = (runs_mean - 1) * (runs_mean - 2) / (n - 1)
     runs_z = F.when(runs_var > 0, (runs - runs_mean) / F.sqrt(runs_var)).otherwise(8.0)
+    steps, share = n - 1, F.least((runs - 1) / (n - 1), F.lit(0.999))
+    chernoff = steps * (share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE)))
+    written_runs = F.when(of(SIDED) & (share > CHANGE), chernoff).otherwise(0.0)
+    # Serial correlation.
     serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - centre) * (p["b"] - centre))
     serial_z = serial / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    p_random = F.least(normal_tail(chi), normal_tail(runs_z), normal_tail(serial_z))
-    kind = lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
-    kinds = F.transform(chars, kind)
-    changes = F.aggregate(F.arrays_zip(F.slice(kinds, 1, F.size(chars) - 1).alias("a"), F.slice(kinds, 2, F.size(chars) - 1).alias("b")), F.lit(0.0), lambda s, p: s + F.when(p["a"] != p["b"], 1.0).otherwise(0.0))
-    steps = n - 1
-    rate, share = F.lit(0.08), F.least(changes / steps, F.lit(0.999))
-    tail = F.when(share > rate, steps * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate)))).otherwise(0.0)
-    p_bin = F.least(F.floor(tail * (50 / 2.302585 / 5)), F.lit(BINS - 1)).cast("int")
+    usual = of([drift(a) for _, a, _ in ENCODINGS])
+    written_serial = F.when(usual > 0, lower_tail((serial_z - usual * F.sqrt(n - 1)) / 1.5)).otherwise(0.0)
+    p_random = F.least(normal_tail(chi_z), normal_tail(runs_z), normal_tail(serial_z))
+    tail = F.greatest(F.greatest(written_chi, written_runs, written_serial) - 1.0986, F.lit(0.0))
+    p_bin = F.least(F.floor(tail * (10 / 2.302585)), F.lit(BINS - 1)).cast("int")
     return F.struct(encoding.alias("encoding"), p_random.alias("p_random"), p_bin.alias("p_bin"))
 
 
@@ -113,8 +148,8 @@ def thresholds(tokens: DataFrame, rate: float) -> dict[int, int]:
 def scan_secrets(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.01, level: float = 0.001) -> DataFrame:
     """The columns ``keep`` of ``docs`` (None: all) and ``secret_spans``: spans (start, kind, end) by start and kind, kinds as in KINDS.
 
-    Needs ``text``; null counts as empty. ``rate`` bounds the share of false discoveries among the tested tokens (those with
-    letters and digits), ``level`` is that of each randomness test. Base spans stay whatever the tests say; a random token
+    Needs ``text``; null counts as empty. ``rate`` bounds the share of false discoveries among the tested tokens (all of 20
+    encoding characters or more, of any encoding), ``level`` is that of each randomness test. Base spans stay whatever the tests say; a random token
     that overlaps one adds no span. Repeated rows get each their spans; an empty table gives an empty result; a column of
     the name ``secret_spans`` is replaced.
     """
@@ -122,8 +157,8 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, rate: float = 0
     text = whole_text()
     base = F.concat(match_spans(text, ASSIGN, 0, 6, 2), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2))
     tokens = F.transform(match_spans(text, TOKEN, 3), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token")))
-    mixed = F.filter(tokens, lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]"))
-    tested = F.transform(mixed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), band(s["end"] - s["start"]).alias("band"), battery(s["token"]).alias("test")))
+    some = F.filter(tokens, lambda s: F.length(F.regexp_replace(s["token"], "=+$", "")) > 2)
+    tested = F.transform(some, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), band(s["end"] - s["start"]).alias("band"), battery(s["token"]).alias("test")))
     kept = materialize(docs.select(*names, F.array_sort(base).alias("_base"), tested.alias("_tested")))
     least = thresholds(kept.select(F.explode("_tested").alias("t")).select("t.band", "t.test.p_bin"), rate)
     limits = F.array(*(F.lit(least.get(b, BINS)) for b in range(len(BANDS) + 1)))
