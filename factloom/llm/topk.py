@@ -75,16 +75,18 @@ def exact_topk(
     k: int = 5,
     scale: int = 256,
     levels: tuple[int, ...] = (4, 16),
-    block_rows: int = 1024,
-    query_rows: int = 1024,
+    block_rows: int = 8192,
+    query_rows: int = 8192,
+    block_values: int = 1 << 19,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` where ``is_query`` holds, its k best other rows.
 
     ``vectors`` has ``vec_id`` and ``embedding``; other columns are ignored. Score: integer inner product of
     floor(scale * x). Ties go to the smaller id. Null ids, null vectors and those that hold a null or a non-finite
     component take no part; of rows with one id the least vector counts; vectors of different lengths aren't compared;
-    a score beyond 64 bits is held at their limit. Queries and candidates are dealt into blocks of a bounded size by a
-    hash of the id, and each pair of blocks is one group: no group grows with the data.
+    a score beyond 64 bits is held at their limit. Queries and candidates are dealt into blocks by a hash of the id, of
+    ``query_rows`` and ``block_rows`` rows and about ``block_values`` components at most, and each pair of blocks is one group:
+    no group grows with the data. A vector is sent once for each block of the other side, so larger blocks send less.
     """
     spark = vectors.sparkSession
     clean = (
@@ -94,8 +96,9 @@ def exact_topk(
         .agg(F.min("embedding").alias("embedding"), F.first("is_query").alias("is_query"))
         .withColumn("dim", F.size("embedding"))
     )
-    n, n_queries = clean.agg(F.count("*"), F.count_if("is_query")).first()
-    blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
+    n, n_queries, dim = clean.agg(F.count("*"), F.count_if("is_query"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(64, block_values // max(1, dim))
+    blocks, query_blocks = max(1, math.ceil(n / min(block_rows, most))), max(1, math.ceil(n_queries / min(query_rows, most)))
     block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     queries = clean.where("is_query").select("dim", block(query_blocks).alias("qb"), every(blocks).alias("cb"), "vec_id", "embedding")
