@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import repeated
-from factloom.llm.common import arrow_rows, discard, materialize, shared_folder, shuffle_partitions, shuffles_end, whole_text
+from factloom.llm.common import discard, materialize, shared_folder, shuffle_partitions, whole_text, written_tables
 
 _NO_ID = -(2**63)
 
@@ -221,15 +221,15 @@ def _keep(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written to the shared folder in as many buckets of ``key`` as a shuffle has partitions: later joins by the key
-    read it in place."""
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder in as many buckets of ``key`` as a shuffle has partitions, and the table's name: later
+    joins by the key read it in place. Whoever asks for it drops the table."""
     spark = df.sparkSession
     name = f"factloom_{uuid.uuid4().hex}"
     n = shuffle_partitions(spark)
-    with shuffles_end(spark):  # dealt by the key first, a task writes one file and not one for each bucket
+    with written_tables(spark):  # dealt by the key first, a task writes one file and not one for each bucket
         df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int = 4000, bucket_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
@@ -241,10 +241,9 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     ``kept`` leaves out bytes of characters that were cut.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
     text = whole_text()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
-    texts = bucketed(rows, "doc_id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("t"))
+    texts, name = bucketed(rows, "doc_id")
     copied = _equal_texts(texts, depth)
     parts = _shared_stretches(texts.join(copied, "doc_id", "left_anti"), depth, gram)
     held = materialize(texts.join(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_cut(depth), "anchor long, k1 long, k2 long, doc_id long, start int, n int, places int, bytes binary"))
@@ -253,14 +252,15 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, heavy: int
     spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     out = texts.join(spans, "doc_id", "left").mapInArrow(_keep(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-    return out if with_text else out.drop("kept")
+    out = materialize(out if with_text else out.drop("kept"), 500)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _equal_texts(texts: DataFrame, depth: int) -> DataFrame:
     """doc_id, lo, hi: documents whose whole text an earlier document has; nothing else needs to look at them."""
-    same = ["t1", "t2"]
-    first = texts.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = texts.select("doc_id", "n_bytes", *same).join(first, same).where((F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= depth))
+    first = materialize(texts.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1"))
+    later = texts.select("doc_id", "n_bytes", "t").join(first, "t").where((F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= depth))
     return materialize(later.select("doc_id", F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")).distinct())
 
 
