@@ -19,12 +19,18 @@ from factloom.llm.secrets import described, scan_secrets
 from factloom.llm.suffix import remove_repeats
 from factloom.llm.topk import exact_topk
 
-TOKENIZERS = "/opt/tokenizers"
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
 
 
+def tokenizer_path() -> str:
+    """Where the word tokenizer's file lies, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc_id", "quality_text", "quality_meta", "quality_score", F.col("is_quality").cast("int").alias("is_quality"))
 
 
@@ -63,7 +69,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS, keep=["doc_id"])
+    mixed, _ = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS, keep=["doc_id"])
     shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
     return mixed.select("doc_id", "tokens", *shares, "rate")
 
@@ -77,7 +83,7 @@ def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
