@@ -31,3 +31,14 @@ def typed_view(state: DataFrame, properties: DataFrame | None, property_id: int,
 def value_text() -> Column:
     """Whatever value a row holds, as text; bytes as hexadecimal digits."""
     return F.coalesce(*(F.lower(F.hex(v)) if v == "bytes_value" else F.col(v).cast("string") for v in VALUES))
+
+
+def fixed_prefix(key: str | Column, size: int) -> Column:
+    """The first ``size`` bytes of a binary or string; null if it is shorter, as it then has no such prefix."""
+    column = (F.col(key) if isinstance(key, str) else key).cast("binary")
+    return F.when(F.length(column) >= size, F.substring(column, 1, size))
+
+
+def capped_prefix(key: str | Column, size: int) -> Column:
+    """The first ``size`` bytes of a binary or string, or all of it."""
+    return F.substring((F.col(key) if isinstance(key, str) else key).cast("binary"), 1, size)

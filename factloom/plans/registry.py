@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.latency import moving_averages, percentiles
-from factloom.functions.values import same_value
+from factloom.functions.values import capped_prefix, fixed_prefix, same_value
 from factloom.operators import catalogue, conflicts, graph, lookups, merges, resolve, retention, scan
-from factloom.schema import KEY, VALUES, Family, canonical_order, conform, invalid_reason
+from factloom.schema import KEY, VALUES, Family, canonical_order, chain_key, conform, invalid_reason
 from factloom.sources.derive import DAY, events_as_facts, orders_as_graph
 from factloom.sources.layout import changes, read_facts, scratch_folder, write_facts
 
@@ -464,6 +464,24 @@ def multi_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.multi_range_scan(events_as_facts(spark, sf_dir), USERS, [(3, 9), (50, 55), (120, 140)], _seq(spark, sf_dir, S0)).select(*ROW)
 
 
+@query("SELECT CASE WHEN strlen(c_name) >= 12 THEN substr(c_name, 1, 12) END AS prefix, substr(c_mktsegment, 1, 4) AS segment, count(*) AS customers FROM customer GROUP BY 1, 2")
+def prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the first bytes of their names and segments."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(fixed_prefix("c_name", 12).cast("string").alias("prefix"), capped_prefix("c_mktsegment", 4).cast("string").alias("segment"))
+    return rows.groupBy("prefix", "segment").agg(F.count("*").alias("customers"))
+
+
+@query(
+    f"""WITH {GRAPH}, asked AS (SELECT DISTINCT CAST(2 AS BIGINT) AS part_id, l_orderkey + 1 AS entity_id FROM lineitem)
+    SELECT a.entity_id, e.valid_from FROM asked a JOIN {_live_sql("edge_facts", G_TIME, 6)} e ON e.part_id = a.part_id AND e.entity_id = a.entity_id"""
+)
+def constructed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of edges whose keys are made from the line items of their orders."""
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*chain_key(Family.EDGE_STATE, F.lit(2), F.col("l_orderkey") + 1)).distinct()
+    facts = orders_as_graph(spark, sf_dir)
+    return resolve.resolve(facts.join(keys, KEY, "left_semi"), G_TIME, 6).select("entity_id", "valid_from")
+
+
 @query(f"WITH {EVENTS} SELECT part_id, entity_id FROM ({_state_sql(T0, _at(S0))}) WHERE float64_value BETWEEN 20 AND 60")
 def entities_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.entities_by_value(scan.state_scan(events_as_facts(spark, sf_dir), USERS, _seq(spark, sf_dir, S0)), "float64_value", 20, 60)

@@ -80,6 +80,14 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(0 if f.name in zero else None)).cast(f.dataType).alias(f.name) for f in FACTS.fields))
 
 
+def chain_key(family: Family, part_id: str | Column, entity_id: str | Column, property_id: int = 0) -> list[Column]:
+    """The key columns of the chains of a family: a vertex, an edge in its home part, or a property of one of them."""
+    check_family(family, property_id)
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    values = (column(part_id).cast("long"), F.lit(int(family)), F.lit(property_id), column(entity_id).cast("long"))
+    return [v.alias(k) for v, k in zip(values, KEY)]
+
+
 def canonical_order() -> list[Column]:
     """Chains ascending, and on a chain the newest valid time, then the newest commit, first."""
     return [*(F.col(c).asc() for c in KEY), F.col("valid_from").desc(), F.col("commit_seq").desc()]
