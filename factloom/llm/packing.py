@@ -13,7 +13,9 @@ follows from its rank among the remainders of its length, so no document passes
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import batched, groupby
 
 import numpy as np
 import pandas as pd
@@ -22,63 +24,115 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_rows, materialize, shuffle_partitions, whole_text
+from factloom.llm.common import materialize, shuffle_partitions, whole_text
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LENGTHS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest_crcs", pa.list_(pa.int64()))])
 
 
+def tokenizer_of(path: str) -> tuple:
+    """A tokenizer, and which of its ids end a word. Each is loaded once for each process: a Python worker serves many tasks,
+    and this function reaches it by value, so what it holds has to lie in a module that stays."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_loaded_by_path", {})
+    if path not in held:
+        loaded = tokenizers.Tokenizer.from_file(path)
+        vocabulary = loaded.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        held[path] = loaded, ends
+    return held[path]
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins what white space parts: each distinct word is encoded once.
+    """Ids of whole texts by a tokenizer that never joins what white space parts: each distinct word of a batch is encoded once.
 
-    At most ``keep`` words stay in memory between batches; the others are encoded anew.
+    A word is cut before its closing marks if a letter or a digit stands there, since the tokenizer cuts there as well; words
+    with the same beginning share its ids. Ids lie in flat arrays, not in objects. Beginnings that are frequent in a batch are kept
+    for the next ones, at most ``keep`` of them.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        # Letters that stay one letter in lower case.
-        self.marks, self.letters = frozenset(".,"), frozenset(c for c in map(chr, range(65, 0x130)) if c.isalpha())
-        self._encode([".", ","])
-
-    def _encode(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = code.ids
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. A point or comma after a letter is a token of its own: such words share their stem's ids."""
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-            self._encode([".", ","])
-        ends = [w[-1:] in self.marks and w[-2:-1] in self.letters for w in words]
-        stems = [w[:-1] if e else w for w, e in zip(words, ends)]
-        self._encode(list(dict.fromkeys(s for s in stems if s not in known)))
-        return [known[s] + known[w[-1]] if e else known[s] for w, s, e in zip(words, stems, ends)]
+    #: ASCII signs that the tokenizer always parts from what is before them (not the apostrophe of contractions), if that is
+    #: a letter or digit that stays one in lower case.
+    MARKS = ".,;:!?)]}\"#%&$*@+-=_/\\~^`>([{"
+    LAST = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]$"
+
+    def __init__(self, path: str, keep: int = 200_000, often: int = 2):
+        self.keep, self.often = keep, often
+        self.tokenizer, self.ends = tokenizer_of(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after the other. Runs of letters are one word each to the tokenizer, and the last id of a word has
+        an end mark: many are encoded as one text and told apart by it. If the ends don't add up, each is encoded by itself."""
+        sizes, flat = array("q"), array("I")
+        for alike, run in groupby(parts, str.isalpha):
+            for chunk in batched(run, 2000):
+                if alike and len(chunk) > 1:
+                    ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, np.uint32)
+                    ends = np.flatnonzero(self.ends[ids])
+                    if len(ends) == len(chunk):
+                        sizes.frombytes(np.diff(ends, prepend=-1).astype(np.int64).tobytes())
+                        flat.frombytes(ids.tobytes())
+                        continue
+                for code in self.tokenizer.encode_batch_fast(list(chunk), add_special_tokens=False):
+                    ids = code.ids
+                    sizes.append(len(ids))
+                    flat.extend(ids)
+        return np.frombuffer(sizes, np.int64), np.frombuffer(flat, np.uint32)
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """Beginnings; which words are cut; their closing marks. ASCII words become lower case, as the tokenizer makes them."""
+        plain = pc.invert(pc.match_substring(words, "<|"))  # other words can be special tokens
+        low = pc.if_else(pc.and_(plain, pc.string_is_ascii(words)), pc.ascii_lower(words), words)
+        stems = pc.ascii_rtrim(low, characters=self.MARKS)
+        cut = pc.and_(pc.and_(pc.not_equal(stems, low), pc.match_substring_regex(stems, self.LAST)), plain)
+        sizes = pc.utf8_length(stems).filter(cut).to_pylist()
+        return pc.if_else(cut, stems, low), np.asarray(cut), [w[n:] for w, n in zip(low.filter(cut).to_pylist(), sizes)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and how many each text has."""
-        spaced = texts
-        for space in "\n\t\r\f\v":
-            spaced = pc.replace_substring(spaced, space, " ")
-        lists = pc.split_pattern(spaced, " ")
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        per_word = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in per_word], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        flat = np.fromiter((i for ids in per_word for i in ids), np.uint32, int(sizes.sum()))
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[words]
+        place, known, fresh = self.place, len(self.place), {}
+        of = lambda strings: np.fromiter((place[p] if p in place else fresh.setdefault(p, known + len(fresh)) for p in strings), np.int32, len(strings))
+        # Two parts for each distinct word: its beginning and its closing marks, or nothing.
+        stems, cut, marks = self._cut(coded.dictionary)
+        stems = stems.dictionary_encode()
+        parts = np.full((len(coded.dictionary), 2), of([""])[0], np.int32)
+        parts[:, 0] = of(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)]
+        parts[cut, 1] = of(marks)
+        order = sorted(fresh, key=str.isalpha)
+        at = np.empty(len(fresh), np.int32)
+        at[np.fromiter((fresh[p] for p in order), np.int64, len(fresh)) - known] = known + np.arange(len(fresh))
+        parts = np.concatenate([np.arange(known, dtype=np.int32), at])[parts]
+        new_sizes, new_flat = self._encoded(order)
+        sizes, flat = np.concatenate([self.sizes, new_sizes]), np.concatenate([self.flat, new_flat])
+        starts = np.cumsum(sizes) - sizes
+        used = parts[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        counts = sizes[used]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) - np.repeat(ends - counts - starts[words], counts)]
-        of_text = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[used] - ends + counts, counts)]
+        of_text = 2 * np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of_text)])]
+        self._keep(order, np.bincount(used, minlength=len(sizes))[known:], new_sizes, new_flat)
         return ids, np.diff(edges)
 
+    def _keep(self, fresh: list[str], times: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        frequent = times >= self.often
+        if len(self.place) + frequent.sum() > self.keep:
+            self._forget()
+        for p, often in zip(fresh, frequent.tolist()):
+            if often:
+                self.place[p] = len(self.place)
+        self.sizes = np.concatenate([self.sizes, sizes[frequent]])
+        self.flat = np.concatenate([self.flat, flat[np.repeat(frequent, sizes)]])
+
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -269,7 +323,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     at most once; texts themselves are never shortened. The tokenizer must keep words that white space parts apart.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 2000)
     if docs.schema["doc_id"].dataType.simpleString() != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.select("doc_id", whole_text().alias("text"))
